@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from tessera.llm import simhash
+from tessera.llm import packing, quality, simhash, tokens
 
-MODULES = (simhash,)
+MODULES = (simhash, packing, tokens, quality)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
