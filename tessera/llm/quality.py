@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, table
 
 WINDOW = 8
+#: Share of good documents that is assumed, and the weight of the prior counts in corpus sizes.
+BALANCE, PRIOR = 0.7, 2.0
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bars", "n_unique", "n_lines"]
 SYMBOLS = b"#*$%&|<>"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -124,23 +126,23 @@ def floor() -> Column:
 def fitted(votes: np.ndarray, weight: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Posterior probability of good for each vote pattern, by expectation-maximisation.
 
-    Patterns (rows of -1, 0, 1) come with their counts. It starts from the belief that a rule is
-    right four times in five and that a bad vote is a rarer, stronger sign than a good one. The
-    prior counts keep each rule better than chance, so the two classes can't trade places.
+    Patterns (rows of -1, 0, 1) come with their counts. It starts from the belief that a bad vote
+    is a rare and strong sign and a good one a weak sign. An abstention says nothing. Prior counts,
+    a share of the corpus, keep each rule better than chance, so the classes can't trade places.
     """
     if not len(votes):
         return np.zeros(0)
     weight = weight.astype(float)
-    good = 1 / (1 + np.exp(-(np.where(votes < 0, -4.0, votes * 0.8)).sum(axis=1)))
+    good = 1 / (1 + np.exp(-(np.where(votes < 0, -6.0, votes * 0.8)).sum(axis=1)))
     for _ in range(rounds):
         w1, w0 = weight * good, weight * (1 - good)
-        strength = 0.02 * weight.sum() + 1
-        log = np.full(len(votes), np.log((w1.sum() + 1) / (w0.sum() + 1)))
+        strength = PRIOR * weight.sum() + 1
+        log = np.full(len(votes), np.log(BALANCE / (1 - BALANCE)))
         for k in range(votes.shape[1]):
             v = votes[:, k]
-            p1 = np.array([w1[v == x].sum() for x in (-1, 0, 1)]) + strength * np.array([0.02, 0.08, 0.9])
-            p0 = np.array([w0[v == x].sum() for x in (-1, 0, 1)]) + strength * np.array([0.3, 0.1, 0.6])
-            log += (np.log(p1 / p1.sum()) - np.log(p0 / p0.sum()))[v + 1]
+            p1 = np.array([w1[v == x].sum() for x in (-1, 0, 1)]) + strength * np.array([0.002, 0.198, 0.8])
+            p0 = np.array([w0[v == x].sum() for x in (-1, 0, 1)]) + strength * np.array([0.29, 0.01, 0.7])
+            log += np.where(v == 0, 0, (np.log(p1 / p1.sum()) - np.log(p0 / p0.sum()))[v + 1])
         new = 1 / (1 + np.exp(-log))
         if np.abs(new - good).max() < 1e-6:
             break
