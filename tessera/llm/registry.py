@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from tessera.llm import decontamination, packing, quality, simhash, tokens
+from tessera.llm import decontamination, licenses, packing, quality, sharding, simhash, tokens
 
-MODULES = (simhash, packing, tokens, quality, decontamination)
+MODULES = (simhash, licenses, packing, sharding, tokens, quality, decontamination)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
