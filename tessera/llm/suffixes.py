@@ -6,7 +6,7 @@ A byte goes if it lies in a string of ``size`` bytes that starts at two places o
 rightmost of equals) is its anchor. Equal windows have equal anchors at equal offsets, so a window
 can repeat only if its anchor's hash does; all others are done with after one count by hash.
 *Regions.* The region of an anchor holds the windows that it anchors; each window is in one. If all regions of an anchor are equal, the copies collapse into that count and the
-windows all repeat. *Suffix arrays.* The distinct regions of the other anchors are dealt by anchor to
+windows all repeat; copies inside one text, as in periodic ones, collapse before any shuffle. *Suffix arrays.* The distinct regions of the other anchors are dealt by anchor to
 shards of ``SHARD`` bytes at most. A shard's suffixes are sorted by Larsson-Sadakane refinement:
 ranks of prefixes double in length, and only suffixes still in a group are sorted again. Kasai's
 method, run over all regions in step, gives the common prefix of neighbours; a window repeats if
@@ -45,7 +45,9 @@ _LOW = np.uint64((1 << 21) - 1)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[1], np.full(n - 1, base, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+    factors = np.full(n, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
 
 
 _UP, _DOWN = _powers(_MUL, CHUNK + 1024), _powers(pow(_MUL, -1, 1 << 64), CHUNK + 1024)
@@ -202,27 +204,27 @@ def found_spans(docs: DataFrame, size: int, text_col: str) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, rows, ats, digs, sizes = [], [], [], [], []
+            rows, out = [], []
             for i, t in enumerate(text_bytes(b.column(2))):
                 if len(t) < size:
                     continue
-                p, h, low, high = anchors(np.frombuffer(t, np.uint8), size)
-                hs.append(h)
-                ats.append(low)
-                rows.append(np.full(len(p), i))
-                digs += [digest(t[a : z + size]) for a, z in zip(low.tolist(), high.tolist(), strict=True)]
-                sizes.append(high - low + size)
-            if hs:
-                own = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hs).view(np.int64)), *(c.take(pa.array(own)) for c in b.columns[:2]), pa.array(np.concatenate(ats).astype(np.int32)), pa.array(digs, pa.int64()), pa.array(np.concatenate(sizes).astype(np.int32))],
-                    ["h", *ROW, "at", "dig", "len"],
-                )
-
-    marked = texts.mapInArrow(mark, "h long, rid long, rkey long, at int, dig long, len int")
-    many = marked.groupBy("h").agg(F.count("*").alias("n"), F.min("dig").alias("lo"), F.max("dig").alias("hi")).where("n > 1")
+                _, h, low, high = anchors(np.frombuffer(t, np.uint8), size)
+                own: dict[tuple, list[int]] = {}
+                for x, s, e in zip(h.view(np.int64).tolist(), low.tolist(), (high + size).tolist(), strict=True):
+                    own.setdefault((x, digest(t[s:e]), e - s), []).append(s)
+                rows += [i] * len(own)
+                out += [(x, ats[0], ats[1:] or None, len(ats), dig, n) for (x, dig, n), ats in own.items()]
+            if out:
+                names = ["h", "at", "more", "n", "dig", "len"]
+                kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int32()]
+                columns = {c: pa.array(v, k) for c, v, k in zip(names, zip(*out, strict=True), kinds, strict=True)}
+                columns |= {c: b.column(c).take(pa.array(rows)) for c in ROW}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    marked = texts.mapInArrow(mark, "h long, at int, more array<int>, n int, dig long, len int, rid long, rkey long")
+    many = marked.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.min("dig").alias("lo"), F.max("dig").alias("hi")).where("all > 1")
     seen = cut(
-        marked.join(many.select("h", F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.ceil(F.col("n") / PART)).cast("int").alias("parts")), "h")
+        marked.join(many.select("h", F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.ceil(F.col("kinds") / PART)).cast("int").alias("parts")), "h")
     )
     mixed = seen.where("parts > 0")
 
@@ -230,17 +232,17 @@ def found_spans(docs: DataFrame, size: int, text_col: str) -> DataFrame:
         for b in batches:
             out = []
             for t, found in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
-                out += [(a["h"], a["dig"], a["parts"], t[a["at"] : a["at"] + a["len"]]) for a in found]
+                out += [(a["h"], a["dig"], a["parts"], a["n"], t[a["at"] : a["at"] + a["len"]]) for a in found]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["h", "dig", "parts", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["h", "dig", "parts", "n", "body"])
 
-    asked = mixed.groupBy(*ROW).agg(F.collect_list(F.struct("h", "dig", "parts", "at", "len")).alias("found"))
+    asked = mixed.groupBy(*ROW).agg(F.collect_list(F.struct("h", "dig", "parts", "n", "at", "len")).alias("found"))
     distinct = (
         texts.join(asked, ROW)
         .select("t", "found")
-        .mapInArrow(fetch, "h long, dig long, parts int, body binary")
+        .mapInArrow(fetch, "h long, dig long, parts int, n int, body binary")
         .groupBy("h", "dig", "parts")
-        .agg(F.first("body").alias("body"), F.count("*").alias("copies"))
+        .agg(F.first("body").alias("body"), F.sum("n").alias("copies"))
         .withColumn("part", F.pmod("dig", "parts"))
     )
 
@@ -300,20 +302,17 @@ def found_spans(docs: DataFrame, size: int, text_col: str) -> DataFrame:
 
     merged = solved_rows.where("cut >= 0").groupBy("h", "cut").applyInArrow(lambda t: merge(t), "h long, dig long, spans binary")
     spans = solved_rows.where("cut < 0").select("h", "dig", "spans").union(merged)
-    begin = F.col("at")
-    by_region = mixed.join(spans, ["h", "dig"]).select(*ROW, begin.alias("begin"), "len", "spans")
-    whole = seen.where("parts = 0").select(*ROW, begin.alias("begin"), "len", F.lit(None).cast("binary").alias("spans"))
-    return by_region.union(whole).groupBy(*ROW).agg(F.collect_list(F.struct("begin", "len", "spans")).alias("found"))
+    by_region = mixed.join(spans, ["h", "dig"]).select(*ROW, "at", "more", "len", "spans")
+    whole = seen.where("parts = 0").select(*ROW, "at", "more", "len", F.lit(None).cast("binary").alias("spans"))
+    return by_region.union(whole).groupBy(*ROW).agg(F.collect_list(F.struct("at", "more", "len", "spans")).alias("found"))
 
 
 def covered(found: list[dict]) -> list[tuple[int, int]]:
     """Maximal removed runs of a text, from where regions begin and what of them goes."""
     pairs = []
     for f in found:
-        if f["spans"] is None:
-            pairs.append((f["begin"], f["begin"] + f["len"]))
-            continue
-        pairs += [(f["begin"] + s, f["begin"] + e) for s, e in np.frombuffer(f["spans"], "<i4").reshape(-1, 2).tolist()]
+        own = [(0, f["len"])] if f["spans"] is None else np.frombuffer(f["spans"], "<i4").reshape(-1, 2).tolist()
+        pairs += [(at + s, at + e) for at in (f["at"], *(f["more"] or ())) for s, e in own]
     out: list[list[int]] = []
     for s, e in sorted(pairs):
         if out and s <= out[-1][1]:
