@@ -15,17 +15,24 @@ ALNUM = bytes(
 )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` to the checkpoint folder that the cluster names and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is set (a local
-    test session) is a temporary one chosen. The files go when the result is no longer referenced,
-    if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    Only where none is set (a local test session) is a temporary one chosen.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared folder and read it back.
+
+    The files go when the result is no longer referenced, if the session has
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` on.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
