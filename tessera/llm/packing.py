@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, table
-from tessera.llm.tokens import REMEMBERED, by_bytes, encoder
+from tessera.llm.tokens import by_bytes, encoder
 
 #: Windows open in a partition, and partitions whose last windows are merged by one task.
 OPEN, MERGE = 32, 256
+#: Words that a worker remembers, and what is cut off their ends.
+REMEMBERED, TAIL = 1_200_000, b".,!?;:#$%&*"
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 FIELDS = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 Piece = tuple  # (id, start, tokens of the document, its ids as bytes)
@@ -83,15 +86,52 @@ def batch(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], FIELDS)
 
 
-def encoded(text: str, known: dict[bytes, bytes], tokenizer) -> bytes:
-    """Token ids as little-endian 32-bit integers. The tokenizer drops white space, so words stand alone."""
-    words = text.encode().split()
-    new = list(set(words).difference(known))
-    if new:
-        for run in by_bytes([w.decode() for w in new]):
-            for w, e in zip(run, tokenizer.encode_batch_fast(run, add_special_tokens=False), strict=True):
-                known[w.encode()] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-    return b"".join(map(known.__getitem__, words))
+class Words:
+    """Token ids of words as little-endian 32-bit integers; words once seen are remembered.
+
+    The tokenizer drops white space, ignores ASCII case and starts anew between a letter or digit
+    and a mark of punctuation, so words are cut there. Words of letters alone have one last token,
+    marked by its ``</w>``, and many of them are encoded in one call and told apart by it.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer, self.known = encoder(path), {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def learn(self, words: set[bytes]) -> None:
+        cut = {w: c for w in words if (c := w.rstrip(TAIL)) != w and c[-1:].isalnum() and c.isascii()}
+        new = words.difference(cut).union(cut.values(), (w[len(c) :] for w, c in cut.items())).difference(self.known)
+        for run in by_bytes([w.decode() for w in new if w.isalpha()]):
+            self.together(run)
+        for run in by_bytes([w.decode() for w in new if not w.isalpha()]):
+            self.apart(run)
+        known = self.known
+        known.update((w, known[c] + known[w[len(c) :]]) for w, c in cut.items())
+
+    def together(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return self.apart(words)
+        raw = ids.tobytes()
+        self.known.update((w.encode(), raw[s:e]) for w, s, e in zip(words, [0, *ends], ends, strict=False))
+
+    def apart(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[w.encode()] = np.array(e.ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [t.encode().lower().split() for t in texts]
+        every = set().union(*split)
+        if new := every.difference(self.known):
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+                new = every
+            self.learn(new)
+        near = {w: self.known[w] for w in every}  # small enough for the processor's caches
+        return [b"".join(map(near.__getitem__, words)) for words in split]
 
 
 def pack(docs: DataFrame, path: str, end_id: int, size: int = 4096, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,17 +139,16 @@ def pack(docs: DataFrame, path: str, end_id: int, size: int = 4096, with_ids: bo
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known, packer = encoder(path), {}, Packer(size)
+        words, packer = Words(path), Packer(size)
         base, out = TaskContext.get().partitionId() << 32, 0
         for b in batches:
             found = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if len(known) > REMEMBERED:
-                    known.clear()
-                ids = encoded(text or "", known, tokenizer) + end
-                for window in packer.add(doc, 0, len(ids) // 4, ids):
-                    found += rows(window, base + out, with_ids)
-                    out += 1
+            docs_of = iter(b.column(0).to_pylist())
+            for texts in by_bytes([t or "" for t in b.column(1).to_pylist()]):
+                for ids, doc in zip(words(texts), docs_of, strict=False):  # ends with the texts
+                    for window in packer.add(doc, 0, len(ids) // 4 + 1, ids + end):
+                        found += rows(window, base + out, with_ids)
+                        out += 1
             if found:
                 yield batch(found)
         found = []

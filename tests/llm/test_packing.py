@@ -2,6 +2,8 @@ import itertools
 import zlib
 
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tessera.llm import packing
 from tessera.llm.tokens import encoder
@@ -29,5 +31,16 @@ def test_round_trip(spark):
     assert sequences == -(-total // 4096)
 
 
+WORDS = packing.Words(PATH)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abAZ1'st.,!#& \n\u0085é\u0301ßΣσ一<|endoftext>-"), max_size=12), max_size=8))
+def test_words_equal_the_tokenizer(parts):
+    text = " ".join(parts)
+    want = WORDS.tokenizer.encode(text, add_special_tokens=False).ids
+    assert WORDS([text])[0] == b"".join(i.to_bytes(4, "little") for i in want)
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH, 2).count() == 0
