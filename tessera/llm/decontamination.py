@@ -31,6 +31,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), lambda w: w != "")
 
 
+def word_count(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+
+
 def windows(items: DataFrame, n: int) -> DataFrame:
     """(size, h, gram, items): the distinct windows of ``items (item, w)`` with the ids they stand in."""
     size = F.least(F.size("w"), F.lit(n))
@@ -79,7 +83,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_
 def judged(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, items, contaminated) for every row."""
     met = hits(docs, benchmark, n, id_col, text_col)
-    counted = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc_key"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    counted = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc_key"), word_count(F.col(text_col)).alias("n_words"))
     both = counted.alias("c").join(
         met.alias("m"), F.col("c.id").eqNullSafe(F.col("m.id")) & (F.col("c.doc_key") == F.col("m.doc_key")), "left"
     )
