@@ -18,6 +18,7 @@ from tessera.operators import resolve as R
 from tessera.operators import validate as Q
 from tessera.plans import fixture as FX
 from tessera.plans import oracle as O
+from tessera.plans import pipeline as PL
 from tessera.sources import records as IO
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,3 +491,17 @@ def review_filter(spark, sf):
 @query(f"with {O.PROB} select case when prob >= 0.75 then 'high' when prob >= 0.4 then 'review' else 'low' end band, count(*) n from prob group by 1")
 def confidence_bands(spark, sf):
     return probable(spark, sf)[0].groupBy(R.band(F.col("prob")).alias("band")).agg(F.count("*").alias("n"))
+
+
+def _preset(name: str) -> None:
+    def run(spark, sf):
+        e = FX.entities(spark, sf)
+        s1, targets = FX.split(e)
+        model, threshold = PL.train(s1, targets, FX.truth(e), PL.PRESETS[name])
+        return PL.link(s1, targets, model, threshold, PL.PRESETS[name])[1].drop("ordinal")
+
+    QUERIES[f"link_{name}"] = run
+
+
+for _name in ("modular", "fast", "hardened", "embedding"):
+    _preset(_name)
