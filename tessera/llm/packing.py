@@ -100,15 +100,24 @@ class Words:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
-    def learn(self, words: set[bytes]) -> None:
-        cut = {w: c for w in words if (c := w.rstrip(TAIL)) != w and c[-1:].isalnum() and c.isascii()}
-        new = words.difference(cut).union(cut.values(), (w[len(c) :] for w, c in cut.items())).difference(self.known)
-        for run in by_bytes([w.decode() for w in new if w.isalpha()]):
+    def learn(self, words: list[bytes]) -> None:
+        known, bare, cut, rest = self.known, {}, [], []
+        for w in words:
+            core = w.rstrip(TAIL)
+            if len(core) < len(w) and core and ((text := core.decode())[-1].isalpha() or core[-1:].isdigit()):
+                cut.append((w, core))
+                if (tail := w[len(core) :]) not in known:
+                    rest.append(tail.decode())
+                    known[tail] = b""
+            else:
+                core, text = w, w.decode()
+            if core not in known and core not in bare:
+                bare[core] = text
+        for run in by_bytes([t for t in bare.values() if t.isalpha()]):
             self.together(run)
-        for run in by_bytes([w.decode() for w in new if not w.isalpha()]):
+        for run in by_bytes(rest + [t for t in bare.values() if not t.isalpha()]):
             self.apart(run)
-        known = self.known
-        known.update((w, known[c] + known[w[len(c) :]]) for w, c in cut.items())
+        known.update((w, known[core] + known[w[len(core) :]]) for w, core in cut)
 
     def together(self, words: list[str]) -> None:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
@@ -124,13 +133,14 @@ class Words:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().lower().split() for t in texts]
+        # what a batch needs is small enough for the processor's caches
         every = set().union(*split)
-        if new := every.difference(self.known):
+        near = dict(zip(every, map(self.known.get, every), strict=True))
+        if new := [w for w, ids in near.items() if ids is None]:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-                new = every
             self.learn(new)
-        near = {w: self.known[w] for w in every}  # small enough for the processor's caches
+            near.update((w, self.known[w]) for w in new)
         return [b"".join(map(near.__getitem__, words)) for words in split]
 
 
