@@ -18,12 +18,12 @@ from tessera.llm.common import shared_folder, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior probability of being good is at least a half and that pass the floor."""
-    return quality.filtered(docs)
+    return quality.filtered(docs, quality.labels(spark, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of fingerprints linked at two bits or fewer."""
-    return simhash.keep_one(docs)
+    """One document of each group of texts whose five-word shingles agree to 0.8 or more."""
+    return simhash.keep_one_near(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,13 @@ The counts cover all documents; what reaches the driver is one row for each vote
 ``3 ** len(RULES)`` of them whatever the corpus holds. A hard floor (too few words, or too many of
 them in repeated windows) rejects before any vote.
 
+One rule needs beginnings of words that give toxic texts away (beginnings, as words are inflected).
+They are learnt as a decision list from labelled rows: of the beginnings that occur almost only in
+toxic texts, or that at least two or three different words of a text share only there, the one that
+explains most texts comes first, then the one that explains most of the rest, until one explains too
+few. The sample is bounded by ``LABELLED`` rows; the rule then reads
+every whole text. Without labels, or with too few of them to learn from, it abstains.
+
 Nulls and edge cases: a null or empty text has no words and is rejected by the floor; rows with
 null or repeated ids are judged each on their own; an empty table gives an empty result; columns
 with clashing names are ignored, or passed through by ``filtered``.
@@ -14,19 +21,26 @@ with clashing names are ignored, or passed through by ``filtered``.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import ALNUM, cut, table
+from tessera.llm.decontamination import words
 
 WINDOW = 8
 #: Share of good documents that is assumed, and the weight of the prior counts in corpus sizes.
 BALANCE, PRIOR = 0.7, 2.0
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bars", "n_unique", "n_lines"]
+#: Labelled rows that toxic stems are learnt from; the least share of a stem's labelled texts that are
+#: toxic; the least share and number of toxic texts that a further stem must explain; its characters; the most
+#: words of a text that it is asked to begin.
+LABELLED, PRECISION, GAIN, SUPPORT, SHORTEST, LONGEST, TIMES = 50_000, 0.98, 0.01, 5, 4, 12, 3
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bars", "n_unique", "n_lines", "n_toxic"]
 SYMBOLS = b"#*$%&|<>"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,7 +69,7 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int(np.count_nonzero(np.cumsum(edge)[:-1]))
 
 
-def counts(text: str) -> tuple[int, ...]:
+def counts(text: str, toxic: dict[int, dict[bytes, int]] | None = None) -> tuple[int, ...]:
     raw = text.encode()
     words = raw.split()
     seen: set[bytes] = set()
@@ -68,18 +82,62 @@ def counts(text: str) -> tuple[int, ...]:
     wide = sum(map(len, words)) - (len(raw) - len(text))  # bytes that only continue a character stand in words
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     upper = len(raw) - len(raw.translate(None, _UPPER))
-    return len(words), wide, symbols, dup, repeated_words(words), upper, raw.count(b"|"), len(set(words)), lines
+    bad = 0
+    if toxic:
+        alnum = set(raw.translate(ALNUM).split())
+        for n, stems in toxic.items():
+            met = Counter(b for b in [w[:n] for w in alnum] if b in stems)
+            bad += sum(met[b] >= stems[b] for b in met)
+    return len(words), wide, symbols, dup, repeated_words(words), upper, raw.count(b"|"), len(set(words)), lines, bad
 
 
 _UPPER = bytes(range(0x41, 0x5B))
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The table of labels, or None where the folder has none."""
+    try:
+        return table(spark, sf_dir, "labels")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def toxic_stems(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
+    """The decision list of toxic beginnings of words and of how many words begin so, learnt from about ``LABELLED`` rows of ``labelled (doc_id, toxic)``."""
+    marks = labelled.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    share = min(1.0, LABELLED / max(1, marks.count()))
+    if share < 1:
+        marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # about LABELLED rows of 12 bytes
+    seen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(marks), "id")
+    seen = cut(seen.groupBy(F.xxhash64("t").alias("text")).agg(F.max("toxic").alias("toxic"), F.first(F.array_distinct(words(F.col("t")))).alias("w")))
+    least = max(SUPPORT, GAIN * seen.where("toxic = 1").count())
+    stems = F.transform("w", lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.greatest(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.length(w)))), lambda n: F.substring(w, F.lit(1), n)))
+    begun = seen.select("text", "toxic", F.explode(F.flatten(stems)).alias("stem")).where(F.length("stem") >= SHORTEST).groupBy("text", "toxic", "stem").agg(F.count("*").alias("c"))
+    each = cut(begun.select("text", "toxic", "stem", F.explode(F.sequence(F.lit(1), F.least(F.col("c"), F.lit(TIMES)).cast("int"))).alias("times")))
+    tells = each.groupBy("stem", "times").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where((F.col("bad") >= least) & (F.col("bad") >= PRECISION * F.col("n")))
+    # toxic texts of the sample only, with the stems that tell
+    left = [{(x["stem"], x["times"]) for x in r["told"]} for r in each.where("toxic = 1").join(tells, ["stem", "times"]).groupBy("text").agg(F.collect_set(F.struct("stem", "times")).alias("told")).collect()]
+    found = []
+    while left:
+        best, gain = min(Counter(x for told in left for x in told).items(), key=lambda x: (-x[1], x[0]))
+        if gain < least:
+            break
+        found.append(best)
+        left = [told for told in left if best not in told]
+    return found
+
+
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic: list[tuple[str, int]] = ()) -> DataFrame:
     """(id, *COUNTS) of every row's whole text."""
+    stems = [(w.encode(), times) for w, times in toxic]
+    bad = {n: {w: times for w, times in reversed(stems) if len(w) == n} for n in {len(w) for w, _ in stems}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [counts(t or "") for t in b.column(1).to_pylist()]
+            found = [counts(t or "", bad) for t in b.column(1).to_pylist()]
             columns = zip(*found, strict=True) if found else [[] for _ in COUNTS]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], ["id", *COUNTS]
@@ -99,7 +157,7 @@ def vote(good: Column, bad: Column) -> Column:
 
 
 #: The rules. Their bounds are the usual ones of public rule sets for web text.
-RULES = ["symbols", "repeats", "lines", "word_length", "capitals", "tables", "variety"]
+RULES = ["symbols", "repeats", "lines", "word_length", "capitals", "tables", "variety", "toxicity"]
 
 
 def votes_of() -> dict[str, Column]:
@@ -111,6 +169,7 @@ def votes_of() -> dict[str, Column]:
         "lines": vote(no, (F.col("n_dup_lines") >= 3) & (ratio("n_dup_lines", "n_lines") > 0.3)),
         "word_length": vote(ratio("word_chars", "n_words").between(3, 10), ~ratio("word_chars", "n_words").between(2, 14)),
         "capitals": vote(no, ratio("n_upper", "word_chars") > 0.3),
+        "toxicity": vote(no, F.col("n_toxic") > 0),
         "tables": vote(no, ratio("n_bars", "n_words") > 0.1),
         "variety": vote(
             (F.col("n_words") >= 20) & (ratio("n_unique", "n_words") > 0.2),
@@ -150,9 +209,10 @@ def fitted(votes: np.ndarray, weight: np.ndarray, rounds: int = 200) -> np.ndarr
     return good
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judged(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, *COUNTS, base_failed, posterior, kept) for every row."""
-    seen = cut(measured(docs, id_col, text_col).select("*", floor().alias("base_failed"), *(v.alias(f"v_{n}") for n, v in votes_of().items())))
+    toxic = [] if labelled is None else toxic_stems(docs, labelled, id_col, text_col)
+    seen = cut(measured(docs, id_col, text_col, toxic).select("*", floor().alias("base_failed"), *(v.alias(f"v_{n}") for n, v in votes_of().items())))
     names = [f"v_{n}" for n in RULES]
     patterns = seen.where("not base_failed").groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()
     votes = np.array([[r[n] for n in names] for r in patterns], int).reshape(-1, len(names))
@@ -165,14 +225,14 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return both.select("id", *COUNTS, "base_failed", "posterior", (~F.col("base_failed") & (F.col("posterior") >= 0.5)).alias("kept"))
 
 
-def filtered(docs: DataFrame) -> DataFrame:
+def filtered(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that are kept. A repeated or null id goes only if every row with it is rejected."""
-    kept = judged(docs).where("kept").select(F.col("id").alias("__id")).distinct()
+    kept = judged(docs, labelled).where("kept").select(F.col("id").alias("__id")).distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judged(table(spark, sf_dir, "documents"))
+    out = judged(table(spark, sf_dir, "documents"), labels(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), *COUNTS[:5], "base_failed", "kept", "posterior")
 
 

@@ -10,6 +10,15 @@ count; tile pairs whose population counts differ by more than the radius are ski
 holds more than ``TILE`` fingerprints is dealt over several tasks, a task for each pair of its
 parts. What leaves a task is a spanning forest of the links that it found, never all pairs.
 
+Copies of a given similarity (``near_groups``): two texts whose sets of five-word shingles have a
+Jaccard similarity of 0.8 lie about 10 of 64 majority bits apart, with a wide spread, and no buckets
+of equal blocks exist for such a radius. There a fingerprint has ``BITS`` bits, each the hashed least
+value of the shingle set under one of as many hash functions, so two texts differ in a share
+``(1 - similarity) / 2`` of them. Buckets are by ``BANDS`` bands of ``ROWS`` least values: a pair at
+0.8 shares none with a probability of 7e-6. Inside a bucket the tiles are compared as above. The
+similarity is judged on the fingerprints, with a standard error of 0.019 at 0.8, and the radius is
+two standard errors wide of it: pairs between 0.73 and 0.8 may be linked, and one in 40 at 0.8 is not.
+
 Nulls and edge cases: a null text counts as empty; a text without words has fingerprint zero and is
 linked like any other; rows without an id keep their fingerprint, link nothing and have a null
 component. Repeated rows link with each other. Other columns are ignored.
@@ -30,6 +39,10 @@ from tessera.llm.common import connected, cut, partitions, table, text_bytes
 
 #: Fingerprints of one bucket that one task compares with each other.
 TILE = 4096
+#: Bits of a fingerprint of least values, and the bands and least values a band for its buckets.
+BITS, BANDS, ROWS = 1024, 30, 5
+#: Elements of a comparison first held against all others: their copies need no comparing among themselves.
+PIVOTS = 32
 #: Edge of a block of comparisons inside a task.
 BLOCK = 512
 
@@ -170,6 +183,104 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
 
 
+def least_values(text: bytes, shingle: int) -> tuple[bytes, list[int]]:
+    """The fingerprint of least values of a text's set of word shingles, and its band keys."""
+    words = text.lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words, itertools.repeat(42)), np.uint64, len(words))
+    n = max(1, len(words) - shingle + 1)
+    x = np.full(n if words else 1, len(words) < shingle, np.uint64)
+    for k in range(min(shingle, len(words))):
+        x = (x ^ (x >> np.uint64(31))) * _MIX + h[k : k + n]
+    x = np.unique(((x ^ (x >> np.uint64(29))) * _MIX >> np.uint64(32)).astype(np.uint32))
+    least = np.full(BITS, 2**32 - 1, np.uint32)
+    for i in range(0, len(x), BLOCK):
+        np.minimum(least, np.multiply.outer(_FACTORS, x[i : i + BLOCK]).min(axis=1), out=least)
+    bits = ((least ^ (least >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(31)
+    bands = least[: BANDS * ROWS].reshape(BANDS, ROWS)
+    keys = [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)]
+    return np.packbits(bits.astype(np.uint8)).tobytes(), np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = np.random.default_rng(42).integers(0, 2**31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def wide_linked(fps: np.ndarray, radius: int) -> np.ndarray:
+    """Class labels (least position) of fingerprints, rows of 64-bit words, joined by at most ``radius`` bits.
+
+    A few pivots come first. What they join lies side by side then, and blocks of one class are skipped.
+    """
+    labels, pop = np.arange(len(fps)), np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
+    for _ in range(min(PIVOTS, len(fps))):
+        alone = np.flatnonzero(labels == np.arange(len(fps)))
+        p = alone[_ % len(alone)]
+        near = np.flatnonzero(np.bitwise_count(fps ^ fps[p]).sum(axis=1, dtype=np.int64) <= radius)
+        labels = merged(labels, np.full(len(near), p), near)
+    order = np.lexsort((pop, labels))
+    for i in range(0, len(fps), BLOCK):
+        one = order[i : i + BLOCK]
+        for j in range(i, len(fps), BLOCK):
+            two = order[j : j + BLOCK]
+            apart = max(pop[two].min() - pop[one].max(), pop[one].min() - pop[two].max())
+            both = np.union1d(labels[one], labels[two])
+            if apart > radius or len(both) == 1:
+                continue
+            far = np.zeros((len(one), len(two)), np.int16)
+            for k in range(fps.shape[1]):
+                far += np.bitwise_count(fps[one, k][:, None] ^ fps[None, two, k])
+            x, y = np.nonzero(far <= radius)
+            labels = merged(labels, one[x], two[y])
+    return labels
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component) for every row: texts linked at the given Jaccard similarity of their shingle sets or more."""
+    share = (1 - similarity) / 2
+    radius = int(BITS * share + 2 * (BITS * share * (1 - share)) ** 0.5)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [least_values(t, shingle) for t in text_bytes(b.column(1))]
+            columns = [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns], ["id", "fp", "keys"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends_a, ends_b = [], []
+            for fps, reps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                label = wide_linked(np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1), radius)
+                reps, x = np.array(reps, np.int64), np.flatnonzero(label != np.arange(len(fps)))
+                ends_a.append(reps[x])
+                ends_b.append(reps[label[x]])
+            if ends_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ends_a)), pa.array(np.concatenate(ends_b))], ["a", "b"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    seen = cut(rows.mapInArrow(sketch, "id long, fp binary, keys array<long>"))
+    # equal fingerprints have equal band keys but for chance; the first copy's keys stand for all
+    nodes = cut(seen.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "keys")).alias("f")).select("fp", F.col("f.id").alias("rep"), F.col("f.keys").alias("keys")))
+    dealt = nodes.select("rep", F.explode("keys").alias("key"))
+    many = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = (
+        dealt.join(many, "key")
+        .join(nodes.select("rep", "fp"), "rep")
+        .withColumn("parts", F.ceil(F.col("n") / F.lit(TILE)).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+        .agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps"))
+    )
+    root = connected(met.select("fps", "reps").mapInArrow(compare, "a long, b long"))
+    named = nodes.join(root, nodes.rep == root.node, "left").select("fp", F.coalesce("root", "rep").alias("least"))
+    return seen.select("id", "fp").join(named, "fp", "left").select("id", F.when(F.col("id").isNotNull(), F.col("least")).alias("component"))
+
+
+def keep_one_near(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without all but the least id of each group of near copies; rows without an id stay."""
+    spare = near_groups(docs, shingle, similarity).where("id <> component").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"),

@@ -32,3 +32,19 @@ def test_counts_and_verdicts(spark):
     assert all(got[i].kept for i in range(60)) and not any(got[i].kept for i in range(60, 72))
     assert Q.filtered(docs).count() == 60
     assert Q.judged(docs.limit(0)).count() == 0
+
+
+def test_toxic_stems_are_learnt_and_reject(spark):
+    rng = np.random.default_rng(1)
+    words, bad = [f"w{k}" for k in range(300)], ["Vile,", "awful."]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(120)]
+    texts = [t if i % 3 else t + " " + bad[i % 2] for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "vile"), (500, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(0, 90)] + [(500, 0, None), (None, 1, 1), (700, 1, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(Q.toxic_stems(docs, marks)) == [("awfu", 1), ("vile", 1)]
+    assert {r.doc_id for r in Q.filtered(docs, marks).collect()} == {i for i in range(120) if i % 3}
+    assert Q.toxic_stems(docs, marks.limit(0)) == [] and Q.toxic_stems(docs.limit(0), marks) == []
+
+
+def test_no_table_of_labels(spark, tmp_path):
+    assert Q.labels(spark, str(tmp_path)) is None

@@ -58,3 +58,47 @@ def test_linked_equals_all_pairs():
     for _ in range(20):
         label = np.where(rows, label[None], len(fps)).min(axis=1)
     assert np.array_equal(simhash.linked(fps, 2), label)
+
+
+def near(rows, share=0.8):
+    """Components over all pairs by the Jaccard similarity of the sets of five-word shingles."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {()}
+    least = {i: i for i in sets}
+    for _ in sets:
+        for a, b in itertools.combinations(sets, 2):
+            if least[a] != least[b] and len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]):
+                least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def test_near_groups_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    words, rows = [f"w{k}" for k in range(500)], []
+    for i in range(40):
+        base = list(rng.choice(words, 200))
+        rows.append((len(rows), " ".join(base)))
+        for k in range(i % 4):  # one to three words changed: similarities of 0.86 and more
+            base[20 + 50 * k] = "edit"
+            rows.append((len(rows), " ".join(base).upper()))
+        rows.append((len(rows), " ".join([*base[:120], *rng.choice(words, 80)])))  # 0.4
+    rows += [(900, None), (901, ""), (902, "  \n"), (903, "One"), (904, "one"), (905, "one two"), (906, "a " * 40_000), (907, rows[0][1])]
+    docs = spark.createDataFrame([(i, t, "x", b"y", 0) for i, t in rows], "doc_id long, text string, id string, fp binary, component int")
+    assert {r.id: r.component for r in simhash.near_groups(docs).collect()} == near(rows)
+    assert sorted(r.doc_id for r in simhash.keep_one_near(docs).collect()) == sorted(set(near(rows).values()))
+    assert simhash.near_groups(docs.limit(0)).count() == 0
+    loose = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (3, "a b c"), (3, "a b c")], "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in simhash.keep_one_near(loose).collect()) == [0, 3, 3]
+
+
+def test_wide_linked_equals_all_pairs():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (30, 4), dtype=np.uint64)
+    fps = np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, (30, 4), dtype=np.uint64)) for _ in range(40))])
+    rows = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2) <= 6
+    label = np.arange(len(fps))
+    for _ in range(30):
+        label = np.where(rows, label[None], len(fps)).min(axis=1)
+    assert np.array_equal(simhash.wide_linked(fps, 6), label)
