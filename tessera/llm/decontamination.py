@@ -4,7 +4,8 @@ The windows of the benchmark's items (``n`` consecutive normalised words; a shor
 window) become a set of 64-bit hashes. The set is broadcast only after its rows have been counted
 and found to be at most ``BROADCAST_ROWS``; beyond that the join is left to the planner, which
 shuffles. Documents are scanned once into token windows by hash, and what hits is verified word for
-word. Only hits are shuffled, so a hot passage costs one row a document and place.
+word. Only hits and one mark for each document, which carries its number of words, are shuffled, so a
+hot passage costs one row a document and place.
 
 Nulls and edge cases: a null text has no words; items and documents without words hit nothing;
 equal items are all reported; a window that stands in several items counts for each; a repeated
@@ -27,8 +28,11 @@ BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
-    """The lower-cased words of a text: runs of ASCII letters, digits and non-ASCII characters."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), lambda w: w != "")
+    """The words of a text, A to Z in lower case: runs of ASCII letters, digits and non-ASCII characters."""
+    text = F.coalesce(text, F.lit(""))
+    # bytes alone tell an ASCII text, whose lower case needs no look at characters
+    small = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.filter(F.split(small, GAP), lambda w: w != "")
 
 
 def windows(items: DataFrame, n: int) -> DataFrame:
@@ -44,8 +48,11 @@ def windows(items: DataFrame, n: int) -> DataFrame:
     )
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """(id, doc_key, at, items): for documents with hits, the hit word positions from 1 and the items."""
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """(id, doc_key, copies, n_words, at, items): for each document its hit word positions from 1 and the items.
+
+    Rows of equal id and text are one, with their number as ``copies``.
+    """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("w"))
     grams = windows(items, n)
     # sizes of windows are between 1 and n, and so are the rows that come back
@@ -56,46 +63,46 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_
     scanned = base.withColumn("hw", F.transform("w", lambda w: F.xxhash64(w)))
 
     def hashed(size: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.xxhash64(F.slice("hw", i, size)))
+        starts = F.sequence(F.lit(1), F.size("w") - (size - 1))
+        return F.when(F.size("w") >= size, F.transform(starts, lambda i: F.xxhash64(F.slice("hw", i, size)))).otherwise(F.array().cast("array<bigint>"))
 
-    met = None
+    # the mark of a document stands at 0; then come the windows of one size after those of another
+    before, start = F.lit(0), F.lit(None).cast("int")
     for size in sorted(found):
-        one = (
-            scanned.where(F.size("w") >= size)
-            .select("id", "doc_key", "w", F.posexplode(hashed(size)).alias("p", "h"))
-            .join(grams.where(F.col("size") == size), "h")
-            .where(F.slice("w", F.col("p") + 1, size) == F.col("gram"))
-            .select("id", "doc_key", (F.col("p") + 1).alias("start"), F.lit(size).alias("size"), "items")
+        start = F.when(F.col("size") == size, F.col("p") - before).otherwise(start)
+        before = before + F.greatest(F.size("w") - (size - 1), F.lit(0))
+    met = (
+        scanned.select("id", "doc_key", "w", F.posexplode(F.concat(F.array("doc_key"), *map(hashed, sorted(found)))).alias("p", "h"))
+        .join(grams, "h", "left")
+        .where((F.col("p") == 0) | F.col("items").isNotNull())
+        .withColumn("start", F.when(F.col("p") > 0, start))
+        .where((F.col("p") == 0) | ((F.col("start") >= 1) & (F.slice("w", F.greatest("start", F.lit(1)), F.col("size")) == F.col("gram"))))
+    )
+    hit = F.col("start").isNotNull()
+    return (
+        met.select("id", "doc_key", F.size("w").cast("long").alias("n_words"), (F.col("p") == 0).cast("int").alias("mark"), F.when(hit, F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at"), F.when(hit, F.col("items")).alias("items"))
+        .groupBy("id", "doc_key")
+        .agg(
+            F.sum("mark").cast("int").alias("copies"),
+            F.max("n_words").alias("n_words"),
+            F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         )
-        met = one if met is None else met.union(one)
-    if met is None:
-        return base.limit(0).select("id", "doc_key", F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("items"))
-    return met.groupBy("id", "doc_key").agg(
-        F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("size") - 1)))).alias("at"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
 
 
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """(id, doc_key, at, items): for documents with hits, the hit word positions from 1 and the items."""
+    return scan(docs, benchmark, n, id_col, text_col, item_col).where(F.size("at") > 0).select("id", "doc_key", "at", "items")
+
+
 def judged(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, items, contaminated) for every row."""
-    met = hits(docs, benchmark, n, id_col, text_col)
-    counted = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc_key"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
-    both = counted.alias("c").join(
-        met.alias("m"), F.col("c.id").eqNullSafe(F.col("m.id")) & (F.col("c.doc_key") == F.col("m.doc_key")), "left"
-    )
-    return both.select(
-        "c.id",
-        "c.doc_key",
-        "n_words",
-        F.coalesce(F.size(F.col("at")), F.lit(0)).cast("long").alias("hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-    ).select(
-        "id",
-        "doc_key",
-        "n_words",
-        F.greatest("hit", F.lit(0)).alias("n_hit"),
-        "items",
-        ((F.col("hit") > 0) & (share * F.col("hit") >= F.col("n_words"))).alias("contaminated"),
+    """(id, doc_key, n_words, n_hit, items, contaminated) for every row."""
+    hit = F.size("at").cast("long")
+    return (
+        scan(docs, benchmark, n, id_col, text_col)
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select("id", "doc_key", "n_words", hit.alias("n_hit"), "items", ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"))
     )
 
 
