@@ -13,6 +13,7 @@ length are cut; equal rows are packed each; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ from tessera.llm.tokens import by_bytes, encoder
 OPEN, MERGE = 32, 256
 #: Words that a worker remembers, and what is cut off their ends.
 REMEMBERED, TAIL = 1_200_000, b".,!?;:#$%&*"
+#: Bytes of texts whose words are looked up together.
+TEXT_BYTES = 1 << 21
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 FIELDS = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 Piece = tuple  # (id, start, tokens of the document, its ids as bytes)
@@ -133,7 +136,7 @@ class Words:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().lower().split() for t in texts]
-        # what a batch needs is small enough for the processor's caches
+        # what a batch needs is a small table of its own
         every = set().union(*split)
         near = dict(zip(every, map(self.known.get, every), strict=True))
         if new := [w for w, ids in near.items() if ids is None]:
@@ -149,12 +152,20 @@ def pack(docs: DataFrame, path: str, end_id: int, size: int = 4096, with_ids: bo
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the remembered words make no cycles, and looking for some among them again and again is slow
+        gc.disable()
+        try:
+            yield from packed(batches)
+        finally:
+            gc.enable()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer = Words(path), Packer(size)
         base, out = TaskContext.get().partitionId() << 32, 0
         for b in batches:
             found = []
             docs_of = iter(b.column(0).to_pylist())
-            for texts in by_bytes([t or "" for t in b.column(1).to_pylist()]):
+            for texts in by_bytes([t or "" for t in b.column(1).to_pylist()], TEXT_BYTES):
                 for ids, doc in zip(words(texts), docs_of, strict=False):  # ends with the texts
                     for window in packer.add(doc, 0, len(ids) // 4 + 1, ids + end):
                         found += rows(window, base + out, with_ids)

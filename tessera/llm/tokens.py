@@ -37,11 +37,11 @@ def encoder(path: str):
     return Tokenizer.from_file(path)
 
 
-def by_bytes(pieces: list[str]) -> Iterator[list[str]]:
-    """Runs of pieces of about CALL_BYTES each, in order; a longer piece is a run of its own."""
+def by_bytes(pieces: list[str], most: int = CALL_BYTES) -> Iterator[list[str]]:
+    """Runs of pieces of about ``most`` bytes each, in order; a longer piece is a run of its own."""
     run, size = [], 0
     for p in pieces:
-        if run and size + len(p) > CALL_BYTES:
+        if run and size + len(p) > most:
             yield run
             run, size = [], 0
         run.append(p)
