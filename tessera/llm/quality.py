@@ -114,9 +114,18 @@ def toxic_stems(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     seen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(marks), "id")
     seen = cut(seen.groupBy(F.xxhash64("t").alias("text")).agg(F.max("toxic").alias("toxic"), F.first(F.array_distinct(words(F.col("t")))).alias("w")))
     least = max(SUPPORT, GAIN * seen.where("toxic = 1").count())
-    stems = F.transform("w", lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.greatest(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.length(w)))), lambda n: F.substring(w, F.lit(1), n)))
-    begun = seen.select("text", "toxic", F.explode(F.flatten(stems)).alias("stem")).where(F.length("stem") >= SHORTEST).groupBy("text", "toxic", "stem").agg(F.count("*").alias("c"))
-    each = cut(begun.select("text", "toxic", "stem", F.explode(F.sequence(F.lit(1), F.least(F.col("c"), F.lit(TIMES)).cast("int"))).alias("times")))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, toxic, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                met = Counter(w[:k] for w in found for k in range(SHORTEST, min(LONGEST, len(w)) + 1))
+                rows = [(text, toxic, stem, times) for stem, c in met.items() for times in range(1, min(c, TIMES) + 1)]
+                if rows:
+                    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["text", "toxic", "stem", "times"])
+
+    # a text's stems are counted where it stands; only sums by stem are shuffled
+    each = seen.select("text", F.col("toxic").cast("int"), "w").mapInArrow(begin, "text long, toxic int, stem string, times int")
     tells = each.groupBy("stem", "times").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where((F.col("bad") >= least) & (F.col("bad") >= PRECISION * F.col("n")))
     # toxic texts of the sample only, with the stems that tell
     left = [{(x["stem"], x["times"]) for x in r["told"]} for r in each.where("toxic = 1").join(tells, ["stem", "times"]).groupBy("text").agg(F.collect_set(F.struct("stem", "times")).alias("told")).collect()]
