@@ -16,8 +16,11 @@ of equal blocks exist for such a radius. There a fingerprint has ``BITS`` bits,
 value of the shingle set under one of as many hash functions, so two texts differ in a share
 ``(1 - similarity) / 2`` of them. Buckets are by ``BANDS`` bands of ``ROWS`` least values: a pair at
 0.8 shares none with a probability of 7e-6. Inside a bucket the tiles are compared as above. The
-similarity is judged on the fingerprints, with a standard error of 0.019 at 0.8, and the radius is
-two standard errors wide of it: pairs between 0.73 and 0.8 may be linked, and one in 40 at 0.8 is not.
+fingerprints give candidates only, at a radius of ``WIDE`` standard errors beyond the similarity (a
+pair at 0.8 is farther apart with a probability of 3e-7). What the candidates connect is a cell; each
+text of a cell is fetched once, and pairs of a cell within the radius are linked only if the exact
+Jaccard similarity of their shingle sets (of 64-bit hashes) is reached. Equal sets collapse first. A
+cell of more than ``TILE`` texts or ``HELD`` bytes is dealt over several tasks like a bucket.
 
 Nulls and edge cases: a null text counts as empty; a text without words has fingerprint zero and is
 linked like any other; rows without an id keep their fingerprint, link nothing and have a null
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import connected, cut, partitions, table, text_bytes
@@ -41,6 +44,8 @@ from tessera.llm.common import connected, cut, partitions, table, text_bytes
 TILE = 4096
 #: Bits of a fingerprint of least values, and the bands and least values a band for its buckets.
 BITS, BANDS, ROWS = 1024, 30, 5
+#: Standard errors that the radius of candidates is wide, and bytes of text in one part of a cell.
+WIDE, HELD = 5, 32 << 20
 #: Elements of a comparison first held against all others: their copies need no comparing among themselves.
 PIVOTS = 32
 #: Edge of a block of comparisons inside a task.
@@ -183,15 +188,20 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
 
 
-def least_values(text: bytes, shingle: int) -> tuple[bytes, list[int]]:
-    """The fingerprint of least values of a text's set of word shingles, and its band keys."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's set of word shingles; never empty."""
     words = text.lower().split()
     h = np.fromiter(map(xxhash.xxh64_intdigest, words, itertools.repeat(42)), np.uint64, len(words))
     n = max(1, len(words) - shingle + 1)
     x = np.full(n if words else 1, len(words) < shingle, np.uint64)
     for k in range(min(shingle, len(words))):
         x = (x ^ (x >> np.uint64(31))) * _MIX + h[k : k + n]
-    x = np.unique(((x ^ (x >> np.uint64(29))) * _MIX >> np.uint64(32)).astype(np.uint32))
+    return np.unique((x ^ (x >> np.uint64(29))) * _MIX)
+
+
+def least_values(values: np.ndarray) -> tuple[bytes, list[int]]:
+    """The fingerprint of least values of a set of shingles, and its band keys."""
+    x = np.unique((values >> np.uint64(32)).astype(np.uint32))
     least = np.full(BITS, 2**32 - 1, np.uint32)
     for i in range(0, len(x), BLOCK):
         np.minimum(least, np.multiply.outer(_FACTORS, x[i : i + BLOCK]).min(axis=1), out=least)
@@ -233,16 +243,42 @@ def wide_linked(fps: np.ndarray, radius: int) -> np.ndarray:
     return labels
 
 
+def verified(sets: list[np.ndarray], fps: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Class labels (least position) of sets joined by a Jaccard similarity of at least ``similarity``.
+
+    Only pairs within ``radius`` bits are looked at, and none whose sets are of one class already.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    labels, mark = np.arange(len(sets)), np.zeros(len(kinds), bool)
+    for i in range(len(sets) - 1):
+        rest = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+        rest = rest[np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i])]
+        rest = rest[np.bitwise_count(fps[rest] ^ fps[i]).sum(axis=1, dtype=np.int64) <= radius]
+        if not len(rest):
+            continue
+        mark[own[i]] = True
+        starts = np.cumsum(sizes[rest]) - sizes[rest]
+        common = np.add.reduceat(mark[np.concatenate([own[j] for j in rest])], starts, dtype=np.int64)
+        mark[own[i]] = False
+        rest = rest[common >= similarity * (sizes[rest] + sizes[i] - common)]
+        labels = merged(labels, np.full(len(rest), i), rest)
+    return labels
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) for every row: texts linked at the given Jaccard similarity of their shingle sets or more."""
     share = (1 - similarity) / 2
-    radius = int(BITS * share + 2 * (BITS * share * (1 - share)) ** 0.5)
+    radius = int(BITS * share + WIDE * (BITS * share * (1 - share)) ** 0.5)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [least_values(t, shingle) for t in text_bytes(b.column(1))]
-            columns = [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns], ["id", "fp", "keys"])
+            sets = [shingle_set(t, shingle) for t in text_bytes(b.column(1))]
+            found = [least_values(s) for s in sets]
+            kin = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            columns = [kin, pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns], ["id", "kin", "fp", "keys"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,24 +291,59 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
             if ends_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ends_a)), pa.array(np.concatenate(ends_b))], ["a", "b"])
 
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come ordered by cell and parts; a repeated row lies beside its first copy
+        place, held = None, {}
+        for b in batches:
+            for cell, p, q, rep, kin, fp, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if place != (cell, p, q):
+                    yield from solved(held)
+                    place, held = (cell, p, q), {}
+                if (rep, kin) not in held and xxhash.xxh3_128_digest((own := shingle_set((t or "").encode(), shingle)).tobytes()) == kin:
+                    held[rep, kin] = fp, own
+        yield from solved(held)
+
+    def solved(held: dict[tuple, tuple]) -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            reps = np.array([rep for rep, _ in held], np.int64)
+            fps = np.frombuffer(b"".join(fp for fp, _ in held.values()), np.uint64).reshape(len(held), -1)
+            label = verified([own for _, own in held.values()], fps, radius, similarity)
+            x = np.flatnonzero(label != np.arange(len(held)))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(reps[x]), pa.array(reps[label[x]])], ["a", "b"])
+
+    def dealt_by(rows: DataFrame, parts: Column) -> DataFrame:
+        own = rows.withColumn("parts", parts.cast("int")).withColumn("own", F.pmod(F.xxhash64("kin"), F.col("parts")).cast("int"))
+        other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return other.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    seen = cut(rows.mapInArrow(sketch, "id long, fp binary, keys array<long>"))
-    # equal fingerprints have equal band keys but for chance; the first copy's keys stand for all
-    nodes = cut(seen.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "keys")).alias("f")).select("fp", F.col("f.id").alias("rep"), F.col("f.keys").alias("keys")))
-    dealt = nodes.select("rep", F.explode("keys").alias("key"))
+    seen = cut(rows.mapInArrow(sketch, "id long, kin binary, fp binary, keys array<long>"))
+    # equal sets have equal fingerprints and band keys
+    nodes = cut(seen.where("id is not null").groupBy("kin").agg(F.min(F.struct("id", "fp", "keys")).alias("f")).select("kin", F.col("f.id").alias("rep"), F.col("f.fp").alias("fp"), F.col("f.keys").alias("keys")))
+    dealt = nodes.select("rep", "kin", F.explode("keys").alias("key"))
     many = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = (
-        dealt.join(many, "key")
-        .join(nodes.select("rep", "fp"), "rep")
-        .withColumn("parts", F.ceil(F.col("n") / F.lit(TILE)).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+        dealt_by(dealt.join(many, "key").join(nodes.select("rep", "kin", "fp"), ["rep", "kin"]), F.ceil(F.col("n") / F.lit(TILE)))
+        .groupBy("key", "p", "q")
         .agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps"))
     )
-    root = connected(met.select("fps", "reps").mapInArrow(compare, "a long, b long"))
-    named = nodes.join(root, nodes.rep == root.node, "left").select("fp", F.coalesce("root", "rep").alias("least"))
-    return seen.select("id", "fp").join(named, "fp", "left").select("id", F.when(F.col("id").isNotNull(), F.col("least")).alias("component"))
+    near = connected(met.select("fps", "reps").mapInArrow(compare, "a long, b long"))
+    cells = cut(near.select("node", F.col("root").alias("cell")).union(near.select("root", "root").distinct()))
+    asked = nodes.join(cells, nodes.rep == cells.node).select("rep", "kin", "fp", "cell")
+    # a text is fetched once, by its id; a row of the same id with another text is told by its set
+    fetched = cut(rows.where("id is not null").join(asked, F.col("id") == F.col("rep")).select("cell", "rep", "kin", "fp", "t"))
+    sizes = fetched.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / F.lit(TILE), F.sum(F.octet_length("t")) / F.lit(HELD))).alias("parts"))
+    pairs = dealt_by(fetched.join(sizes, "cell"), F.greatest(F.col("parts"), F.lit(1)))
+    exact = (
+        pairs.select("cell", "p", "q", "rep", "kin", "fp", "t")
+        .repartition(partitions(docs.sparkSession), "cell", "p", "q")
+        .sortWithinPartitions("cell", "p", "q", "rep", "kin")
+        .mapInArrow(verify, "a long, b long")
+    )
+    root = connected(exact)
+    named = nodes.join(root, nodes.rep == root.node, "left").select("kin", F.coalesce("root", "rep").alias("least"))
+    return seen.select("id", "kin").join(named, "kin", "left").select("id", F.when(F.col("id").isNotNull(), F.col("least")).alias("component"))
 
 
 def keep_one_near(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -102,3 +102,17 @@ def test_wide_linked_equals_all_pairs():
     for _ in range(30):
         label = np.where(rows, label[None], len(fps)).min(axis=1)
     assert np.array_equal(simhash.wide_linked(fps, 6), label)
+
+
+def test_similarity_is_exact_round_the_threshold(spark):
+    rows, want = [], {}
+    for permille in (750, 790, 800, 820):  # shared of 1000 shingles in either text
+        for k in range(25):
+            i, left = len(rows), (1000 - permille) // 2
+            word = [f"{permille}x{k}x{j}" for j in range(permille + left + 4)]
+            other = [f"{permille}y{k}y{j}" for j in range(1000 - permille - left)]
+            rows += [(i, " ".join(word)), (i + 1, " ".join(word[: permille + 4] + other))]
+            want |= {i: i, i + 1: i if permille >= 800 else i + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near(rows[:2]) == {0: 0, 1: 1} and near(rows[100:102]) == {100: 100, 101: 100}
+    assert {r.id: r.component for r in simhash.near_groups(docs).collect()} == want
