@@ -98,7 +98,10 @@ def digest(raw: bytes) -> int:
 
 
 def suffix_ranks(raw: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of all suffixes by their first ``size`` bytes or more, and the ranks (equal: the same)."""
+    """Order of all suffixes, and their ranks.
+
+    Ties beyond ``size`` bytes are refined as well: Kasai's method holds only on a fully sorted array.
+    """
     n = len(raw)
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
@@ -111,7 +114,7 @@ def suffix_ranks(raw: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     rank[order] = np.repeat(start, np.diff(np.append(start, n)))
     open_ = _grouped(new)
     h = 8
-    while h < size and len(open_):
+    while len(open_):
         own = order[open_]
         after = own + h
         follow = np.where(after < n, rank[np.minimum(after, n - 1)], -1)

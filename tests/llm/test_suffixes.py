@@ -67,5 +67,21 @@ def test_suffix_order_and_prefixes():
         assert got[b] == n
 
 
+def test_regions_that_differ_after_256_shared_bytes():
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        text = lambda n: bytes(rng.choice(np.frombuffer(b"abcdefghij", np.uint8), n))
+        regions = [text(int(rng.integers(200, 369))) for _ in range(200)]
+        for _ in range(60):
+            head = text(256)
+            regions += [head + b"a" + text(100), head + b"b" + text(100)]
+        regions = [regions[i] for i in rng.permutation(len(regions))]
+        n = Counter(r[i : i + 200] for r in regions for i in range(len(r) - 199))
+        found, heads = S.repeated_windows(regions, [1] * len(regions), 200)
+        for r, f in zip(regions, found, strict=True):
+            assert f.tolist() == [i for i in range(len(r) - 199) if n[r[i : i + 200]] > 1]
+        assert sum(map(len, heads)) == len(n)
+
+
 def test_empty_table(spark):
     assert S.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
