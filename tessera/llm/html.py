@@ -7,8 +7,9 @@ one host with equal vectors form a class. A class is valid if it occurs in at le
 host's pages; the class of the page body, whose tokens occur once in each page, is the outer
 template, and classes below its elements nest in it. What lies in an element of the template is a
 slot. A slot whose text never varies belongs to the template, and so do slots of menus, headers,
-footers, sidebars, notices, adverts, forms and comments, which their names give away. Of the slots
-that remain, the ones that hold the host's varying text are extracted from each page.
+footers, sidebars, notices, adverts, forms and comments, which their names give away. The slot
+that holds most of the host's varying text is extracted from each page, and so is all other text that lies neither in
+an element whose text never varies nor in one that is given away.
 
 Hosts of fewer than ``PAGES`` pages show no classes; there, and in a page that lacks its host's
 slots, an article or main element is taken, else the body, without what its names give away.
@@ -94,11 +95,17 @@ def walk(page: str) -> Iterator[tuple[list[tuple[str, bool]], str]]:
 
 
 def tokens(page: str) -> dict[str, list]:
-    """Path of each element that holds text: [occurrences, characters, hash of its text, given away]."""
+    """Path of each element that holds text: [occurrences, characters, hash of its text, given away].
+
+    The text directly in an element is a token of its own, named ``#``.
+    """
     out: dict[str, list] = {}
     open_: list[str] = []
     for path, text in walk(page):
         names = [n for n, _ in path]
+        own = out.setdefault("/".join([*names, "#"]), [1, 0, 0, any(b for _, b in path)])
+        own[1] += len(text)
+        own[2] = crc32(text.encode(), own[2])
         for i in range(len(names)):
             key = "/".join(names[: i + 1])
             row = out.setdefault(key, [0, 0, 0, any(b for _, b in path[: i + 1])])
@@ -110,17 +117,28 @@ def tokens(page: str) -> dict[str, list]:
     return out
 
 
-def main_text(page: str, slots: list[str] | None) -> str:
+def main_text(page: str, slots: list[str] | None, fixed: list[str] | None = None) -> str:
     blocks = [(["/".join(n for n, _ in path[: i + 1]) for i in range(len(path))], path, text) for path, text in walk(page)]
-    if slots and (own := [t for keys, path, t in blocks for k, key in enumerate(keys) if key in slots and not any(b for _, b in path[k + 1 :])]):
-        return "\n".join(own)
+    if slots:
+        own, template = [], frozenset(fixed or ())
+        for keys, path, t in blocks:
+            if any(key in slots for key in keys):
+                if any(key in slots and not any(b for _, b in path[k + 1 :]) for k, key in enumerate(keys)):
+                    own.append(t)
+            elif not any(b for _, b in path) and template.isdisjoint([*keys, "/".join([*keys[-1:], "#"])]):
+                own.append(t)
+        if own:
+            return "\n".join(own)
     clean = [(path, t) for _, path, t in blocks if not any(b for _, b in path)]
     inner = [t for path, t in clean if any(n.split(".")[0] in ("article", "main") for n, _ in path)]
     return "\n".join(inner or [t for _, t in clean])
 
 
 def slots(pages: DataFrame) -> DataFrame:
-    """(host, slots) of hosts whose classes show a template; ``pages (host, page, html)``."""
+    """(host, slots, fixed) of hosts whose classes show a template; ``pages (host, page, html)``.
+
+    fixed lists the outermost elements outside the slots whose text never varies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
@@ -143,19 +161,25 @@ def slots(pages: DataFrame) -> DataFrame:
         F.first("bad").alias("bad"),
     )
     outer = token.groupBy("host").agg(F.max("pages").alias("all"), F.max(F.when(~F.col("bad"), F.col("chars")).otherwise(0)).alias("text")).where(f"all >= {PAGES}")
+    slot = (F.col("most") == 1) & F.col("varies") & (F.col("chars") >= SHARE * F.col("text")) & ~F.col("key").rlike("(^|/)#$")
     valid = (
         token.join(outer, "host")
-        .where((F.col("pages") >= SUPPORT * F.col("all")) & (F.col("most") == 1) & F.col("varies") & ~F.col("bad"))
-        .where(F.col("chars") >= SHARE * F.col("text"))
+        .where((F.col("pages") >= SUPPORT * F.col("all")) & ~F.col("bad"))
+        .where(slot | ~F.col("varies"))
         .groupBy("host", "pages", "vector")
-        .agg(F.collect_list(F.struct(F.size(F.split("key", "/")).alias("depth"), "key", "chars")).alias("tokens"))
+        .agg(
+            F.collect_list(F.when(slot, F.struct(F.size(F.split("key", "/")).alias("depth"), "key", "chars"))).alias("tokens"),
+            F.collect_list(F.when(~F.col("varies"), F.col("key"))).alias("fixed"),
+        )
     )
     # of the classes that hold varying text, the elements deepest in the template that hold most of it
-    every = valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    every = valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("fixed")).alias("fixed"))
     whole = F.array_max(F.transform("tokens", lambda t: t["chars"]))
     most = F.filter("tokens", lambda t: (t["chars"] >= 0.9 * whole) & ~F.element_at(F.split(t["key"], "/"), -1).rlike(r"^(p|h[1-6]|li|td|tr|blockquote|pre)\b"))
     best = F.array_max(F.transform(most, lambda t: F.struct(t["depth"], t["chars"], t["key"])))
-    return every.select("host", F.array(best["key"]).alias("slots")).where(best["key"].isNotNull())
+    chosen = every.select("host", best["key"].alias("slot"), "fixed").where("slot is not null")
+    outside = F.filter("fixed", lambda k: ~k.startswith(F.concat("slot", F.lit("/"))) & ~F.array_contains("fixed", F.regexp_replace(k, "/[^/]*$", "")))
+    return chosen.select("host", F.array("slot").alias("slots"), outside.alias("fixed"))
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -168,10 +192,10 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h or "", s) for h, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            texts = [main_text(h or "", s, f) for h, s, f in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    return own.join(known, "host", "left").select("page", "url", "html", "slots").mapInArrow(run, "id long, url string, text string")
+    return own.join(known, "host", "left").select("page", "url", "html", "slots", "fixed").mapInArrow(run, "id long, url string, text string")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

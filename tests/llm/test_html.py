@@ -24,6 +24,13 @@ def test_shapes(spark):
     assert found["a.example"] == ["html/body/article"] and found["b.example"] == ["html/body/div.story"]
 
 
+def test_text_outside_the_deepest_slot_stays(spark):
+    art = '<div class="tagline">Our daily</div><article><h1>Head {k}</h1><p class="lead">Lead {k}</p><div class="content"><p>{long}</p></div></article>directly {k}<div class="end">Made by us</div>'
+    rows = [(k, "http://a.example/" + str(k), page(k, art.format(k=k, long=f"long {k} " * 60))) for k in range(6)]
+    got = {r.id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "Head 2\nLead 2\n" + ("long 2 " * 60).strip() + "\ndirectly 2"
+
+
 def test_articles_of_the_tables(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.id: r.text for r in html.extracted(df).collect()}
