@@ -12,7 +12,9 @@ that holds most of the host's varying text is extracted from each page, and so i
 an element whose text never varies nor in one that is given away.
 
 Hosts of fewer than ``PAGES`` pages show no classes; there, and in a page that lacks its host's
-slots, an article or main element is taken, else the body, without what its names give away.
+slots, an article or main element is taken, else the body, without what its names give away; if nothing is left, all but menus, footers and the head.
+A name gives an element away only as a whole (``sidebar``, ``site-nav``, not ``has-sidebar`` or ``navy``), and never html, body, main, article, a
+heading, or what holds main or most of a page's text.
 
 Nulls and edge cases: null or empty html gives an empty text; a null url is a host of its own;
 unclosed, truncated and unbalanced markup is read as browsers do in the main; equal pages and ids are
@@ -40,12 +42,23 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
 DROPPED = frozenset("nav footer aside form head title button dialog menu".split())
-BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|footer|header|masthead|side-?bar|cookies?|consent|notices?|newsletter|subscribe|comments?|replies|disqus|related|recommended|share|sharing|social|breadcrumbs?|popup|modal|login|signup|search|pagination|pager|widget)(?:$|[\s_-])", re.I)
-
-
-def walk(page: str) -> Iterator[tuple[list[tuple[str, bool]], str]]:
-    """Blocks of text in page order, each with the open elements as (name, whether its name gives it away)."""
-    stack: list[tuple[str, str, bool]] = []
+#: What no page's article lies in.
+FRAME = frozenset("head title nav footer button menu".split())
+#: A class, id or role that gives an element away: nothing but a name of the list, with a place or a kind of box beside it.
+PLACE = r"(?:(?:site|global|main|primary|secondary|top|bottom|left|right|page|post|entry|article|sticky|fixed)[_-])*"
+BOX = r"(?:[_-](?:area|wrapper|wrap|container|section|box|block|bar|list|links?|inner|slot|unit|menu|icons?|buttons?|form|\d+))*"
+BAD = re.compile(
+    rf"(?:^|\s){PLACE}(?:ads?|adverts?|advertis(?:ements?|ing)|banner|sponsors?|sponsored|promos?|promoted|nav|navbar|navigation|menus?|menubar|footer|masthead|side-?bar|cookies?|consent|notices?|newsletter|subscribe|comments?|replies|disqus|related|recommended|share|sharing|social|breadcrumbs?|popup|modal|login|signup|search|pagination|pager|widget){BOX}(?=\s|$)"
+    r"|(?:^|\s)(?:(?:site|global|main|top|sticky|fixed)[_-])?header(?=\s|$)",
+    re.I,
+)
+#: Elements that their names never give away, and the share of a page's text in an element that neither do.
+SPARED, MOST = frozenset("html body main article h1 h2 h3 h4 h5 h6".split()), 0.8
+
+
+def walk(page: str) -> Iterator[tuple[list[tuple[str, int]], str]]:
+    """Blocks of text in page order, each with the open elements as (name, 1 or 2 if its tag or its class, id or role gives it away)."""
+    stack: list[tuple[str, str, int]] = []
     held: list[str] = []
     at = 0
 
@@ -87,13 +100,33 @@ def walk(page: str) -> Iterator[tuple[list[tuple[str, bool]], str]]:
         if m[4] and m[4].rstrip().endswith("/") and tag not in INLINE:
             continue
         names = " ".join("".join(g) for g in NAMED.findall(m[4])) if "=" in m[4] else ""
-        bad = tag in DROPPED or bool(names and BAD.search(names)) or (tag == "header" and not any(s[0] in ("article", "main") for s in stack))
+        bad = int(tag in DROPPED or (tag == "header" and not any(s[0] in ("article", "main") for s in stack)))
+        if not bad and names and tag not in SPARED and BAD.search(names):
+            bad = 2
         stack.append((tag, f"{tag}.{names}" if names else tag, bad))
     held.append(page[at:])
     if b := block():
         yield b
 
 
+def blocks_of(page: str) -> list[tuple[list[tuple[str, int]], str]]:
+    """The blocks of a page, in which no class, id or role gives away what holds main or most of the text."""
+    found, held, whole = list(walk(page)), {}, 0
+    for path, text in found:
+        if any(b == 1 for _, b in path):
+            continue
+        whole += len(text)
+        for i, (_, b) in enumerate(path):
+            if b:
+                key = tuple(n for n, _ in path[: i + 1])
+                own = any(n.split(".")[0] == "main" for n, _ in path[i + 1 :])
+                held[key] = held.get(key, 0) + (float("inf") if own else len(text))
+    if not any(c >= MOST * whole for c in held.values()):
+        return found
+    spared = {key for key, c in held.items() if c >= MOST * whole}
+    return [([(n, 0 if b == 2 and tuple(m for m, _ in path[: i + 1]) in spared else b) for i, (n, b) in enumerate(path)], text) for path, text in found]
+
+
 def tokens(page: str) -> dict[str, list]:
     """Path of each element that holds text: [occurrences, characters, hash of its text, given away].
 
@@ -101,7 +134,7 @@ def tokens(page: str) -> dict[str, list]:
     """
     out: dict[str, list] = {}
     open_: list[str] = []
-    for path, text in walk(page):
+    for path, text in blocks_of(page):
         names = [n for n, _ in path]
         own = out.setdefault("/".join([*names, "#"]), [1, 0, 0, any(b for _, b in path)])
         own[1] += len(text)
@@ -118,7 +151,7 @@ def tokens(page: str) -> dict[str, list]:
 
 
 def main_text(page: str, slots: list[str] | None, fixed: list[str] | None = None) -> str:
-    blocks = [(["/".join(n for n, _ in path[: i + 1]) for i in range(len(path))], path, text) for path, text in walk(page)]
+    blocks = [(["/".join(n for n, _ in path[: i + 1]) for i in range(len(path))], path, text) for path, text in blocks_of(page)]
     if slots:
         own, template = [], frozenset(fixed or ())
         for keys, path, t in blocks:
@@ -130,6 +163,8 @@ def main_text(page: str, slots: list[str] | None, fixed: list[str] | None = None
         if own:
             return "\n".join(own)
     clean = [(path, t) for _, path, t in blocks if not any(b for _, b in path)]
+    if not clean:  # a form or the like round all of it
+        clean = [(path, t) for _, path, t in blocks if not any(n.split(".")[0] in FRAME for n, _ in path)]
     inner = [t for path, t in clean if any(n.split(".")[0] in ("article", "main") for n, _ in path)]
     return "\n".join(inner or [t for _, t in clean])
 
@@ -158,7 +193,7 @@ def slots(pages: DataFrame) -> DataFrame:
         F.max("n").alias("most"),
         F.sum("chars").alias("chars"),
         (F.min("digest") < F.max("digest")).alias("varies"),
-        F.first("bad").alias("bad"),
+        (F.avg(F.col("bad").cast("int")) > 0.5).alias("bad"),
     )
     outer = token.groupBy("host").agg(F.max("pages").alias("all"), F.max(F.when(~F.col("bad"), F.col("chars")).otherwise(0)).alias("text")).where(f"all >= {PAGES}")
     slot = (F.col("most") == 1) & F.col("varies") & (F.col("chars") >= SHARE * F.col("text")) & ~F.col("key").rlike("(^|/)#$")

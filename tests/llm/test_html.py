@@ -31,6 +31,20 @@ def test_text_outside_the_deepest_slot_stays(spark):
     assert got[2] == "Head 2\nLead 2\n" + ("long 2 " * 60).strip() + "\ndirectly 2"
 
 
+def test_names_give_away_only_as_a_whole(spark):
+    body = '<h2 id="related">Related work {k}</h2><p class="navy">deep {k}</p><div class="promotion-of-arms">arms {k}</div>'
+    shapes = [
+        '<body class="has-sidebar search">{}<div class="site-nav">go</div></body>',
+        '<body class="search"><article class="post no-comments">{}</article><div class="ad">Buy</div></body>',
+        '<body><div class="content-with-sidebar">{}</div><div class="sidebar widget">w</div></body>',
+        '<body id="login"><div class="search">{}</div><p class="comments">c</p></body>',
+        '<body><form>{}</form><nav>menu</nav></body>',
+    ]
+    rows = [(10 * i + k, f"http://{i}.example/{k}" if k < 4 else f"http://{i}.one/", "<html>" + x.format(body.format(k=k)) + "</html>") for i, x in enumerate(shapes) for k in range(5)]
+    got = {r.id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Related work {i % 10}\ndeep {i % 10}\narms {i % 10}" for i in got} and len(got) == 25
+
+
 def test_articles_of_the_tables(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.id: r.text for r in html.extracted(df).collect()}
