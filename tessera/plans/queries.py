@@ -272,7 +272,7 @@ def features11(spark, sf):
 @query()
 def features7(spark, sf):
     s1, t = hardened(spark, sf)
-    pairs = B.pair_up(B.top(B.blocked(s1, t, B.WRITE_CAPPED), 5), s1, t)
+    pairs = B.pair_up(B.top(B.blocked(s1, t, B.WRITE_CAPPED)), s1, t)
     return FT.seven(pairs).select("s1_id", "target_id", *FT.SEVEN)
 
 

@@ -33,6 +33,11 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(tuple(norm(r[c]) for c in columns) for r in rows.collect()) == sorted(tuple(norm(r[i]) for i in order) for r in want.fetchall())
 
 
+def test_features7_describes_every_written_candidate(spark):
+    pairs = lambda name: sorted((r.s1_id, r.target_id) for r in P.QUERIES[name](spark, SF).select("s1_id", "target_id").collect())
+    assert pairs("features7") == pairs("block_write_capped")
+
+
 def test_golden_scores(spark):
     ids = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "s1_id string")
     truth = spark.createDataFrame([("c", "x"), ("d", "x"), ("e", "S2-00047"), ("e", "S3-00812")], "s1_id string, target_id string")
