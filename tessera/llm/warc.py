@@ -1,11 +1,14 @@
 """WARC fixity audit with Merkle trees.
 
 Records are WARC response records made of pages; they are dealt to files by a hash of their id and
-ordered by it, which gives every record an offset range in its file. A leaf hashes a record with its
-range; each level hashes ``FAN`` neighbours, up to a root for each file. Replicas are audited by their
-roots: only below mismatching nodes are the children compared, level by level, until the damaged,
-missing or surplus records are found. Files are bounded (``FILE_ROWS`` records on average), so the
-hot host of a crawl spreads over files, and every group of the tree has ``FAN`` rows at most.
+ordered by it, which gives every record an offset range in its file. A leaf hashes a record's id, length and
+digest, and the number of the copy among equal ones; never its place, so a lost, longer or inserted record
+leaves the leaves of those behind it as they are. The offsets follow from the lengths and are a field of the records. Leaves lie in buckets by their hash, and each level
+hashes ``FAN`` neighbours, up to a root for each file. Replicas are audited by their roots: only below
+mismatching nodes are the children compared, level by level, down to the leaves that only one replica has. Of
+these, leaves of one id on both sides are a damaged record, the others missing or surplus ones. Files are bounded
+(``FILE_ROWS`` records on average), so the hot host of a crawl spreads over files; a bucket has about ``FAN``
+leaves, however often an id repeats.
 
 Nulls and edge cases: a null url or html is an empty one; rows with a null id are ordered
 first; equal ids are ordered by the digest of their record and are records of their own; an empty
@@ -42,18 +45,18 @@ def records(pages: DataFrame, files: int, id_col: str = "page_id") -> DataFrame:
 
 
 def tree(own: DataFrame, height: int) -> DataFrame:
-    """(file, level, node, hash): level 0 has a leaf for each record, the last level the root."""
-    leaf = F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256)
-    level = own.select("file", F.col("seq").alias("node"), leaf.alias("hash"))
-    levels = [level.select("file", F.lit(0).alias("level"), "node", "hash")]
+    """(file, level, node, hash, id, seq): level 0 has a leaf for each record in its bucket, the last level the root."""
+    copy = F.row_number().over(Window.partitionBy("file", "id", "digest").orderBy("seq"))
+    leaf = F.sha2(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), "copy", "length", "digest"), 256)
+    leaves = cut(own.withColumn("copy", copy).withColumn("hash", leaf).withColumn("node", F.pmod(F.xxhash64("hash"), F.lit(FAN ** (height - 1)))))
+    out = leaves.select("file", F.lit(0).alias("level"), "node", "hash", "id", "seq")
+    level = leaves.groupBy("file", "node").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ""), 256).alias("hash"))
     for k in range(1, height + 1):
-        level = level.groupBy("file", F.floor(F.col("node") / FAN).alias("node")).agg(
-            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.pmod("node", F.lit(FAN)).alias("at"), "hash"))), lambda x: x["hash"]), ""), 256).alias("hash")
-        )
-        levels.append(level.select("file", F.lit(k).alias("level"), "node", "hash"))
-    out = levels[0]
-    for one in levels[1:]:
-        out = out.union(one)
+        if k > 1:
+            level = level.groupBy("file", F.floor(F.col("node") / FAN).alias("node")).agg(
+                F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.pmod("node", F.lit(FAN)).alias("at"), "hash"))), lambda x: F.concat_ws(":", x["at"], x["hash"])), ""), 256).alias("hash")
+            )
+        out = out.union(level.select("file", F.lit(k).alias("level"), "node", "hash", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("seq")))
     return out
 
 
@@ -66,28 +69,35 @@ def height_for(own: DataFrame) -> int:
 
 
 def audited(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(file, seq, kind, compared): leaves at which the replicas differ, found from the roots down.
+    """(file, seq, kind, compared): records in which the replicas differ, found from the roots down.
 
-    kind is damaged, missing (from ``right``) or surplus; compared counts the nodes looked at in the file.
+    kind is damaged, missing (from ``right``) or surplus; seq is that of a surplus record in ``right``, else in
+    ``left``; compared counts the nodes looked at in the file.
     """
     height = max(height_for(left), height_for(right))
     a, b = cut(tree(left, height)), cut(tree(right, height))
     frontier, looked = None, []
     for k in range(height, -1, -1):
-        x, y = (t.where(F.col("level") == k).select("file", "node", F.col("hash").alias(n)) for t, n in ((a, "x"), (b, "y")))
+        x, y = (t.where(F.col("level") == k).select("file", "node", F.col("hash").alias(n), F.col("id").alias(f"{n}_id"), F.col("seq").alias(f"{n}_seq")) for t, n in ((a, "x"), (b, "y")))
         if frontier is not None:
-            parent = F.floor(F.col("node") / FAN)
+            parent = F.floor(F.col("node") / FAN) if k else F.col("node")  # a leaf bears its bucket's number
             x, y = (t.withColumn("up", parent).join(frontier, ["file", "up"], "left_semi").drop("up") for t in (x, y))
-        met = x.join(y, ["file", "node"], "full")
+        if not k:
+            x, y = x.withColumn("leaf", F.col("x")), y.withColumn("leaf", F.col("y"))
+        met = x.join(y, ["file", "node"] if k else ["file", "node", "leaf"], "full")
         looked.append(met.groupBy("file").agg(F.count("*").alias("n")))
         apart = met.where(~F.col("x").eqNullSafe(F.col("y")))
         frontier = apart.select("file", F.col("node").alias("up"))
-    kind = F.when(F.col("x").isNull(), "surplus").when(F.col("y").isNull(), "missing").otherwise("damaged")
     seen = looked[0]
     for one in looked[1:]:
         seen = seen.union(one)
     compared = seen.groupBy("file").agg(F.sum("n").alias("compared"))
-    return apart.select("file", F.col("node").alias("seq"), kind.alias("kind")).join(compared, "file")
+    alone = cut(apart.select("file", F.coalesce("x_id", "y_id").alias("id"), F.col("x").isNotNull().alias("ours"), F.coalesce("x_seq", "y_seq").alias("seq")))
+    paired = alone.withColumn("n", F.row_number().over(Window.partitionBy("file", "id", "ours").orderBy("seq"))).groupBy("file", "id", "n").agg(
+        F.max(F.when(F.col("ours"), F.col("seq"))).alias("x"), F.max(F.when(~F.col("ours"), F.col("seq"))).alias("y")
+    )
+    kind = F.when(F.col("x").isNull(), "surplus").when(F.col("y").isNull(), "missing").otherwise("damaged")
+    return paired.select("file", F.coalesce("x", "y").alias("seq"), kind.alias("kind")).join(compared, "file")
 
 
 def damaged(pages: DataFrame, one_in: int = 997) -> DataFrame:
@@ -102,7 +112,7 @@ def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = max(1, -(-pages.count() // FILE_ROWS))
     own = cut(records(pages, files))
     found = audited(own, records(damaged(pages), files))
-    return own.join(found.select("file", "seq", "kind"), ["file", "seq"], "left").select(
+    return own.join(found.where("kind <> 'surplus'").select("file", "seq", "kind"), ["file", "seq"], "left").select(
         F.col("id").alias("page_id"), "file", "seq", "offset", "length", "digest", F.coalesce("kind", F.lit("intact")).alias("status")
     )
 

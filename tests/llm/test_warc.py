@@ -35,6 +35,20 @@ def test_audit_finds_exactly_the_damage(spark):
     assert warc.audited(own, own).count() == 0
 
 
+def test_records_that_shift_others_are_found_alone(spark):
+    rows = [(i, f"http://h/{i}", "é" * (i % 70) + f"page {i}") for i in range(700)] + [(None, None, None), (5, "http://h/5", "again"), (5, "http://h/5", "again")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    own = warc.records(pages, 3).cache()
+    rotten = pages.withColumn("html", F.when(F.col("page_id").isin(3, 400), F.concat(F.lit("X"), F.substring("html", 2, 9999))).otherwise(F.col("html")))
+    extra = spark.createDataFrame([(-50, "u", "new"), (5, "http://h/5", "again")], pages.schema)
+    other = warc.records(rotten.where("page_id is null or page_id not in (10, 333)").union(extra), 3).cache()
+    ours, theirs = ({(r.file, r.seq): r.id for r in d.collect()} for d in (own, other))
+    got = sorted(((theirs if r.kind == "surplus" else ours)[r.file, r.seq], r.kind) for r in warc.audited(own, other).collect())
+    assert got == [(-50, "surplus"), (3, "damaged"), (5, "surplus"), (10, "missing"), (333, "missing"), (400, "damaged")]
+    back = sorted(((ours if r.kind == "surplus" else theirs)[r.file, r.seq], r.kind) for r in warc.audited(other, own).collect())
+    assert back == [(-50, "missing"), (3, "damaged"), (5, "missing"), (10, "surplus"), (333, "surplus"), (400, "damaged")]
+
+
 def test_empty_table(spark):
     empty = warc.records(spark.createDataFrame([], "page_id long, url string, html string"), 2)
     assert warc.audited(empty, empty).count() == 0
