@@ -2,24 +2,26 @@
 
 A byte goes if it lies in a string of ``size`` bytes that starts at two places of the corpus or more.
 
+*Blocks.* Rows are gathered, whole and with all their columns, into blocks of about ``BLOCK`` bytes of text, which
+are compressed and written once to the shared folder. A block is what later steps deal and fetch.
 *Anchors.* In every window of ``size`` bytes the ``K``-byte string with the least hash (the
 rightmost of equals) is its anchor. Equal windows have equal anchors at equal offsets, so a window
-can repeat only if its anchor's hash does; all others are done with after one count by hash.
-*Regions.* The region of an anchor holds the windows that it anchors; each window is in one. If all regions of an anchor are equal, the copies collapse into that count and the
-windows all repeat; copies inside one text, as in periodic ones, collapse before any shuffle. *Suffix arrays.* The distinct regions of the other anchors are dealt by anchor to
-shards of ``SHARD`` bytes at most. A shard's suffixes are sorted by Larsson-Sadakane refinement:
-ranks of prefixes double in length, and only suffixes still in a group are sorted again. Kasai's
+can repeat only if its anchor's hash stands twice; a block names each of its anchors once, so a hot one costs a short row
+a block. The region of an anchor holds the windows that it anchors; each window is in one.
+*Suffix arrays.* The regions of all anchors that stand twice are dealt by anchor to shards of about ``SHARD`` bytes.
+Equal regions collapse to one that counts its copies; a block sends each but once. A shard's suffixes are sorted by Larsson-Sadakane
+refinement: ranks of prefixes double in length, and only suffixes still in a group are sorted again. Kasai's
 method, run over all regions in step, gives the common prefix of neighbours; a window repeats if
-that is ``size`` bytes or its region stands for several copies. *Merging.* The regions of an anchor with
-more than ``PART`` of them are dealt over several shards. Such a shard also gives the digests of its
-distinct windows as sorted runs, cut at fixed bounds by binary search; a task for each cut range looks every
-run up in the others by binary search. So no anchor, however hot, gathers in one task, no pairs of
+that is ``size`` bytes or its region stands for several copies. *Merging.* An anchor with
+more than ``PART`` regions is dealt over several shards, by the regions' hash. Such a shard gives the digests of the anchor's
+windows as sorted runs, cut at fixed bounds by binary search; a task for each cut range sorts the runs into
+one and looks every run up in it by binary search. So no anchor, however hot, gathers in one task, no pairs of
 copies are formed, and everything grows in proportion to the corpus.
 
 Nulls and edge cases: a null text is empty; texts shorter than ``size`` bytes lose nothing by
-themselves; matches never cross texts and may overlap in one; rows with the same id and
-text are copies of each other, null ids included; empty tables give no rows; other
-columns are ignored. A character that loses some of its bytes keeps the others as bytes.
+themselves; matches never cross texts and may overlap in one; null or repeated ids and repeated
+rows are rows like any other, each judged by its own text; a text longer than a block is a block of its own; empty tables give no rows;
+other columns, whatever their names, are carried along. A character that loses some of its bytes keeps the others as bytes.
 """
 
 from __future__ import annotations
@@ -30,14 +32,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, partitions, table, text_bytes
+from tessera.llm.common import cut, partitions, table
 
-#: Bytes of an anchor, of a shard of regions, regions of one anchor in a shard, bytes hashed at once.
-K, SHARD, PART, CHUNK = 32, 4 << 20, 4096, 1 << 20
-ROW = ["rid", "rkey"]
+#: Bytes of text in a block, of an anchor, and of a shard of regions; regions of one anchor in a shard; bytes hashed at once.
+BLOCK, K, SHARD, PART, CHUNK = 2 << 20, 32, 4 << 20, 1024, 1 << 20
+#: Regions that a task remembers to have sent.
+SENT = 200_000
 _RNG = np.random.default_rng(7)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = 0x9E3779B97F4A7C15
@@ -53,13 +57,26 @@ def _powers(base: int, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_MUL, CHUNK + 1024), _powers(pow(_MUL, -1, 1 << 64), CHUNK + 1024)
 
 
-def anchors(raw: np.ndarray, size: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all windows of ``size`` bytes in ``raw``, and the starts
-    of the first and of the last window of each."""
-    places, hashes, firsts, lasts = [], [], [], []
+def anchors(raw: np.ndarray, ends: np.ndarray, size: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of all windows of ``size`` bytes in the texts that lie side by side in ``raw`` up to ``ends``.
+
+    Gives for each region, in order, the anchor's hash, the starts of the first and of the last window, and a hash
+    of the region's bytes.
+    """
+    edge = np.zeros(len(raw) + 1, np.int32)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    long = ends - starts >= size
+    edge[starts[long]] += 1
+    np.subtract.at(edge, ends[long] - size + 1, 1)
+    valid = np.cumsum(edge[:-1]).astype(bool)
+    found: list[list[np.ndarray]] = []
     w = size - k + 1
     for at in range(0, len(raw) - size + 1, CHUNK - size + 1):
         part = raw[at : at + CHUNK]
+        n = len(part) - size + 1
+        own = np.flatnonzero(valid[at : at + n])
+        if not len(own):
+            continue
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_BYTE[part] * _UP[: len(part)], out=sums[1:])
         h = (sums[k:] - sums[:-k]) * _DOWN[: len(part) - k + 1]
@@ -73,28 +90,44 @@ def anchors(raw: np.ndarray, size: int, k: int = K) -> tuple[np.ndarray, np.ndar
         grid = grid.reshape(blocks, w)
         ahead = np.minimum.accumulate(grid, axis=1).ravel()
         behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        n = len(h) - w + 1
-        least = np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
-        first = np.empty(n, bool)
-        first[0] = True
-        np.not_equal(least[1:], least[:-1], out=first[1:])
-        own = (_LOW - (least[first] & _LOW)).astype(np.int64)
-        begin = np.flatnonzero(first)
-        places.append(own + at)
-        hashes.append(h[own])
-        firsts.append(begin + at)
-        lasts.append(np.append(begin[1:], n) - 1 + at)
-    if not places:
-        return (np.zeros(0, np.int64),) * 4
-    p, first, own = np.unique(np.concatenate(places), return_index=True, return_inverse=True)
-    low, high = np.concatenate(firsts)[first], np.zeros(len(p), np.int64)
-    np.maximum.at(high, own, np.concatenate(lasts))
-    return p, np.concatenate(hashes)[first], low, high
-
-
-def digest(raw: bytes) -> int:
-    d = xxhash.xxh3_64_intdigest(raw)
-    return d - (1 << 64) if d >> 63 else d
+        least = np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])[own]
+        new = np.concatenate([[True], (least[1:] != least[:-1]) | (own[1:] != own[:-1] + 1)])
+        first = own[new]
+        last = own[np.append(np.flatnonzero(new)[1:] - 1, len(own) - 1)]
+        place = (_LOW - (least[new] & _LOW)).astype(np.int64)
+        if found and found[-1][2][-1] + 1 == at + first[0] and found[-1][1][-1] == at + place[0]:  # a region cut by the chunk
+            found[-1][2][-1] = at + last[0]
+            first, last, place = first[1:], last[1:], place[1:]
+        if len(first):
+            found.append([h[place], place + at, last + at, first + at])
+    if not found:
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64))
+    h, _, high, low = (np.concatenate(c) for c in zip(*found, strict=True))
+    return h, low, high, region_hashes(raw, low, high + size)
+
+
+def region_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches ``raw[begin:end]``, of at least eight bytes each."""
+    out = np.empty(len(begin), np.uint64)
+    longest = int((end - begin).max(initial=0))
+    for at in range(0, len(raw), CHUNK - longest):
+        own = slice(*np.searchsorted(begin, [at, at + CHUNK - longest]))
+        part = raw[at : at + CHUNK].astype(np.uint64)
+        x = np.zeros(max(len(part) - 7, 0), np.uint64)
+        for j in range(8):
+            x |= part[j : j + len(x)] << np.uint64(8 * j)
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0x7FB5D329728EA185)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x81DADEF4BC2DD44D)
+        x ^= x >> np.uint64(33)
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x * _UP[: len(x)], out=sums[1:])
+        s, e = begin[own] - at, end[own] - at
+        d = (sums[e - 7] - sums[s]) * _DOWN[s] + (e - s).astype(np.uint64)
+        d ^= d >> np.uint64(32)
+        out[own] = d * np.uint64(0xD6E8FEB86659FD93)
+    return out
 
 
 def suffix_ranks(raw: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,19 +140,20 @@ def suffix_ranks(raw: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = key << np.uint64(8) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
     rank = np.empty(n, np.int64)
     start = np.flatnonzero(new)
     rank[order] = np.repeat(start, np.diff(np.append(start, n)))
     open_ = _grouped(new)
+    # eight bytes of a suffix that ends earlier equal those of one that goes on with zeros: both stay open
     h = 8
     while len(open_):
         own = order[open_]
         after = own + h
-        follow = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
+        follow = np.where(after < n, rank[np.minimum(after, n - 1)], -(after - n) - 1)
         group = rank[own]
-        again = np.argsort(group * np.int64(n + 2) + follow, kind="stable")
+        again = np.argsort(group * np.int64(n + 2 * h + 2) + follow + h + 1)
         own, group, follow = own[again], group[again], follow[again]
         order[open_] = own
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])])
@@ -195,189 +229,230 @@ def runs(starts: np.ndarray, size: int) -> bytes:
     return np.column_stack([starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)] + size]).astype("<i4").tobytes()
 
 
-def rowed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ROW, the id and the hash of the text. Rows that share it are copies and lose the same."""
-    return docs.withColumns({"rid": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "rkey": F.xxhash64(text_col)})
-
+def blocked(rows: DataFrame, text_col: str) -> DataFrame:
+    """(block, data): ``rows`` with all their columns as compressed blocks, written to the shared folder."""
 
-def found_spans(docs: DataFrame, size: int, text_col: str) -> DataFrame:
-    """(*ROW, found): for rows that lose bytes, regions and what of them goes. ``docs`` has ROW."""
-    n_parts = partitions(docs.sparkSession)
-    texts = docs.select(*ROW, F.col(text_col).alias("t"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, room = TaskContext.get().partitionId() << 32, [], 0
+        for b in batches:
+            at = 0
+            for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(text_col)), 0).to_pylist()):
+                if room + n > BLOCK and (held or i > at):
+                    yield sealed(number, [*held, b.slice(at, i - at)])
+                    number, held, room, at = number + 1, [], 0, i
+                room += n
+            held.append(b.slice(at))
+        if any(h.num_rows for h in held):
+            yield sealed(number, held)
+
+    def sealed(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+            out.write_table(pa.Table.from_batches(held).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
+
+    return cut(rows.mapInArrow(run, "block long, data binary"))
+
+
+def opened(data: bytes, text_col: str) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The rows of a block, the bytes of their texts side by side, and where each ends."""
+    rows = pa.ipc.open_stream(data).read_all().combine_chunks()
+    texts = pc.fill_null(rows.column(text_col), "").cast(pa.large_string())
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    if not len(texts):
+        return rows, np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    _, offsets, raw = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return rows, raw, at[1:] - at[0]
+
+
+def found_spans(blocks: DataFrame, size: int, text_col: str) -> DataFrame:
+    """(block, data, found): the blocks with what goes of their regions: anchor, region hash and spans."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, out = [], []
-            for i, t in enumerate(text_bytes(b.column(2))):
-                if len(t) < size:
-                    continue
-                _, h, low, high = anchors(np.frombuffer(t, np.uint8), size)
-                own: dict[tuple, list[int]] = {}
-                for x, s, e in zip(h.view(np.int64).tolist(), low.tolist(), (high + size).tolist(), strict=True):
-                    own.setdefault((x, digest(t[s:e]), e - s), []).append(s)
-                rows += [i] * len(own)
-                out += [(x, ats[0], ats[1:] or None, len(ats), dig, n) for (x, dig, n), ats in own.items()]
-            if out:
-                names = ["h", "at", "more", "n", "dig", "len"]
-                kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int32()]
-                columns = {c: pa.array(v, k) for c, v, k in zip(names, zip(*out, strict=True), kinds, strict=True)}
-                columns |= {c: b.column(c).take(pa.array(rows)) for c in ROW}
-                yield pa.RecordBatch.from_pydict(columns)
-
-    marked = texts.mapInArrow(mark, "h long, at int, more array<int>, n int, dig long, len int, rid long, rkey long")
-    many = marked.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.min("dig").alias("lo"), F.max("dig").alias("hi")).where("all > 1")
-    seen = cut(
-        marked.join(many.select("h", F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.ceil(F.col("kinds") / PART)).cast("int").alias("parts")), "h")
+            for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                _, raw, ends = opened(data.as_buffer(), text_col)
+                h, n = np.unique(anchors(raw, ends, size)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), block)), pa.array(n.astype(np.int32))], ["h", "block", "n"])
+
+    every = Window.partitionBy("h")
+    shared = (
+        blocks.select("block", "data")
+        .mapInArrow(mark, "h long, block long, n int")
+        .withColumn("all", F.sum("n").over(every))
+        .where("all > 1")
+        .select("block", F.struct("h", F.ceil(F.col("all") / PART).cast("int").alias("parts")).alias("a"))
     )
-    mixed = seen.where("parts > 0")
+    asked = blocks.join(shared.groupBy("block").agg(F.collect_list("a").alias("asked")), "block").select("block", "data", "asked")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple] = set()
         for b in batches:
-            out = []
-            for t, found in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
-                out += [(a["h"], a["dig"], a["parts"], a["n"], t[a["at"] : a["at"] + a["len"]]) for a in found]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["h", "dig", "parts", "n", "body"])
-
-    asked = mixed.groupBy(*ROW).agg(F.collect_list(F.struct("h", "dig", "parts", "n", "at", "len")).alias("found"))
-    distinct = (
-        texts.join(asked, ROW)
-        .select("t", "found")
-        .mapInArrow(fetch, "h long, dig long, parts int, n int, body binary")
-        .groupBy("h", "dig", "parts")
-        .agg(F.first("body").alias("body"), F.sum("n").alias("copies"))
-        .withColumn("part", F.pmod("dig", "parts"))
-    )
+            for i, block in enumerate(b.column(0).to_pylist()):
+                _, raw, ends = opened(b.column(1)[i].as_buffer(), text_col)
+                wanted = b.column(2)[i].values
+                names, parts = (wanted.field(k).to_numpy() for k in ("h", "parts"))
+                order = np.argsort(names)
+                names, parts = names[order], parts[order]
+                h, low, high, dig = anchors(raw, ends, size)
+                h, dig = h.view(np.int64), dig.view(np.int64)
+                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                own = np.flatnonzero(names[at] == h)
+                own = own[np.lexsort((dig[own], h[own]))]
+                new = np.append(True, (h[own][1:] != h[own][:-1]) | (dig[own][1:] != dig[own][:-1]))
+                copies = np.diff(np.append(np.flatnonzero(new), len(own))).astype(np.int32)
+                own = own[new]
+                parts, h, dig = parts[at[own]], h[own], dig[own]
+                text, body = raw.tobytes(), []
+                for key, s, e in zip(zip(h.tolist(), dig.tolist(), strict=True), low[own].tolist(), (high[own] + size).tolist(), strict=True):
+                    body.append(None if key in sent else text[s:e])
+                    sent.add(key)
+                if len(sent) > SENT:
+                    sent.clear()
+                columns = [h, (dig % parts).astype(np.int32), dig, parts, np.full(len(own), block), copies]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(body, pa.binary())], ["h", "part", "dig", "parts", "block", "n", "body"])
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[list] = []  # h, part, dig, parts, blocks, copies, body
         room = 0
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if room > SHARD and r[:2] != held[-1][:2]:
-                    yield solved(held)
+            for h, part, dig, parts, block, n, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[-1][0] == h and held[-1][2] == dig:
+                    last = held[-1]
+                    last[4].append(block)
+                    last[5] += n
+                    if last[6] is None and body is not None:
+                        last[6] = body
+                        room += len(body)
+                    continue
+                if room > SHARD and (held[-1][0] != h or held[-1][1] != part):
+                    yield from solved(held)
                     held, room = [], 0
-                held.append(r)
-                room += len(r[4])
+                held.append([h, part, dig, parts, [block], n, body])
+                room += len(body or b"")
         if held:
-            yield solved(held)
+            yield from solved(held)
 
-    def solved(held: list[tuple]) -> pa.RecordBatch:
-        found, heads = repeated_windows([r[4] for r in held], [r[5] for r in held], size)
-        out = [(r[0], r[2], runs(f, size), -1, None) for r, f in zip(held, found, strict=True) if len(f)]
+    def solved(held: list[list]) -> Iterator[pa.RecordBatch]:
+        found, heads = repeated_windows([r[6] for r in held], [r[5] for r in held], size)
+        out = [(r[0], r[2], block, runs(f, size), -1, None) for r, f in zip(held, found, strict=True) if len(f) or r[3] > 1 for block in r[4]]
         hot: dict[tuple, list] = {}
         for r, f, first in zip(held, found, heads, strict=True):
             if r[3] > 1:
                 for s in sorted({*first.tolist(), *f.tolist()}):
-                    hot.setdefault((r[0], r[1], r[3]), []).append((xxhash.xxh3_128_digest(r[4][s : s + size]), r[2].to_bytes(8, "little", signed=True), s.to_bytes(4, "little")))
+                    hot.setdefault((r[0], r[1], r[3]), []).append((xxhash.xxh3_128_digest(r[6][s : s + size]), r[2].to_bytes(8, "little", signed=True), s.to_bytes(4, "little")))
         for (h, part, parts), entries in hot.items():
             entries.sort()
-            names = np.array([e[0] for e in entries], "S16")
-            bounds = np.searchsorted(names, np.array([(i * (1 << 32) // parts).to_bytes(4, "big") for i in range(1, parts)], "S16"))
+            names = np.array([e[0] for e in entries], "V16").view(">u8")[::2]
+            bounds = np.searchsorted(names, np.array([(i << 64) // parts for i in range(1, parts)], np.uint64))
             for i, (s, e) in enumerate(zip([0, *bounds.tolist()], [*bounds.tolist(), len(entries)], strict=True)):
                 if e > s:
-                    out.append((h, part, b"", i, b"".join(b"".join(x) for x in entries[s:e])))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "dig", "spans", "cut", "run"])
+                    out.append((h, part, None, None, i, b"".join(b"".join(x) for x in entries[s:e])))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["h", "dig", "block", "spans", "cut", "run"])
 
     solved_rows = cut(
-        distinct.repartition(n_parts, "h", "part")
+        asked.mapInArrow(fetch, "h long, part int, dig long, parts int, block long, n int, body binary")
+        .repartition(partitions(blocks.sparkSession), "h", "part")
         .sortWithinPartitions("h", "part", "dig")
-        .select("h", "part", "dig", "parts", "body", "copies")
-        .mapInArrow(shard, "h long, dig long, spans binary, cut int, run binary")
+        .mapInArrow(shard, "h long, dig long, block long, spans binary, cut int, run binary")
     )
-
-    def merge(part: pa.Table) -> pa.Table:
-        h = part.column("h")[0].as_py()
-        each = [np.frombuffer(r, np.dtype([("name", "V16"), ("dig", "<i8"), ("at", "<i4")])) for r in part.column("run").to_pylist()]
-        names = [np.ascontiguousarray(e["name"]).view("S16").ravel() for e in each]
-        out: dict[int, list[int]] = {}
-        for i, e in enumerate(each):
-            met = np.zeros(len(e), bool)
-            for j, other in enumerate(names):
-                if i != j:
-                    at = np.minimum(np.searchsorted(other, names[i]), len(other) - 1)
-                    met |= other[at] == names[i]
-            for d, s in zip(e["dig"][met].tolist(), e["at"][met].tolist(), strict=True):
-                out.setdefault(d, []).append(s)
-        return pa.table({"h": pa.array([h] * len(out), pa.int64()), "dig": pa.array(list(out), pa.int64()), "spans": pa.array([runs(np.unique(s), size) for s in out.values()], pa.binary())})
-
-    merged = solved_rows.where("cut >= 0").groupBy("h", "cut").applyInArrow(lambda t: merge(t), "h long, dig long, spans binary")
-    spans = solved_rows.where("cut < 0").select("h", "dig", "spans").union(merged)
-    by_region = mixed.join(spans, ["h", "dig"]).select(*ROW, "at", "more", "len", "spans")
-    whole = seen.where("parts = 0").select(*ROW, "at", "more", "len", F.lit(None).cast("binary").alias("spans"))
-    return by_region.union(whole).groupBy(*ROW).agg(F.collect_list(F.struct("at", "more", "len", "spans")).alias("found"))
-
-
-def covered(found: list[dict]) -> list[tuple[int, int]]:
-    """Maximal removed runs of a text, from where regions begin and what of them goes."""
-    pairs = []
-    for f in found:
-        own = [(0, f["len"])] if f["spans"] is None else np.frombuffer(f["spans"], "<i4").reshape(-1, 2).tolist()
-        pairs += [(at + s, at + e) for at in (f["at"], *(f["more"] or ())) for s, e in own]
-    out: list[list[int]] = []
-    for s, e in sorted(pairs):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+    merged = solved_rows.where("cut >= 0").groupBy("h", "cut").applyInArrow(lambda t: merge(t, size), "h long, dig long, spans binary")
+    spans = solved_rows.where("cut < 0 and octet_length(spans) > 0").select("block", "h", "dig", "spans")
+    hot = solved_rows.where("cut < 0").select("block", "h", "dig").join(merged, ["h", "dig"]).select("block", "h", "dig", "spans")
+    found = spans.union(hot).groupBy("block").agg(F.collect_list(F.struct("h", "dig", "spans")).alias("found"))
+    return blocks.join(found, "block", "left").select("block", "data", "found")
+
+
+def merge(part: pa.Table, size: int) -> pa.Table:
+    """The windows of sorted runs of one anchor that stand in more than one place of them."""
+    h = part.column("h")[0].as_py()
+    each = [np.frombuffer(r, np.dtype([("name", "V16"), ("dig", "<i8"), ("at", "<i4")])) for r in part.column("run").to_pylist()]
+    keys = [np.ascontiguousarray(e["name"]).view("S16").ravel() for e in each]
+    whole = np.sort(np.concatenate(keys))
+    out: dict[int, list[int]] = {}
+    for e, k in zip(each, keys, strict=True):
+        met = np.searchsorted(whole, k, "right") - np.searchsorted(whole, k, "left") > 1
+        for d, s in zip(e["dig"][met].tolist(), e["at"][met].tolist(), strict=True):
+            out.setdefault(d, []).append(s)
+    return pa.table({"h": pa.array([h] * len(out), pa.int64()), "dig": pa.array(list(out), pa.int64()), "spans": pa.array([runs(np.unique(s), size) for s in out.values()], pa.binary())})
+
+
+def covered(raw: np.ndarray, ends: np.ndarray, found: list[dict] | None, size: int) -> np.ndarray:
+    """For each byte of a block's texts whether it goes."""
+    edge = np.zeros(len(raw) + 1, np.int32)
+    if found:
+        h, low, _, dig = anchors(raw, ends, size)
+        own: dict[tuple, list[int]] = {}
+        asked = {(f["h"], f["dig"]) for f in found}
+        names = np.unique(np.array([k for k, _ in asked], np.int64))
+        near = names[np.minimum(np.searchsorted(names, h.view(np.int64)), len(names) - 1)] == h.view(np.int64)
+        for x, d, s in zip(h[near].view(np.int64).tolist(), dig[near].view(np.int64).tolist(), low[near].tolist(), strict=True):
+            own.setdefault((x, d), []).append(s)
+        begin, end = [], []
+        for f in found:
+            for s, e in np.frombuffer(f["spans"], "<i4").reshape(-1, 2).tolist():
+                for at in own.get((f["h"], f["dig"]), ()):
+                    begin.append(at + s)
+                    end.append(at + e)
+        np.add.at(edge, np.array(begin, np.int64), 1)
+        np.subtract.at(edge, np.array(end, np.int64), 1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def pieces(gone: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """For each text where it begins and ends, and its maximal runs of ``gone`` bytes, counted from its begin."""
+    edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
+    begin, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    at = 0
+    for e in ends.tolist():
+        s, t = np.searchsorted(end, at, "right"), np.searchsorted(begin, e, "left")
+        yield at, e, [(max(b - at, 0), min(x, e) - at) for b, x in zip(begin[s:t].tolist(), end[s:t].tolist(), strict=True)]
+        at = e
 
 
 def deduplicated(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, spans, kept): for every row the removed byte ranges and the bytes that are left."""
-    rows = rowed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)), "id", text_col)
-    found = found_spans(rows, size, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            spans, kept, sizes = [], [], []
-            for t, f in zip(text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
-                cuts = covered(f or [])
-                at, left = 0, []
-                for s, e in cuts:
-                    left.append(t[at:s])
-                    at = e
-                left.append(t[at:])
-                kept.append(b"".join(left))
-                sizes.append(len(t))
-                spans.append([{"begin": s, "end": e} for s, e in cuts])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                ["id", "n_bytes", "spans", "kept"],
-            )
-
-    return rows.join(found, ROW, "left").select("id", text_col, "found").mapInArrow(run, "id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
-
-
-def without_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
+            for i in range(b.num_rows):
+                own, raw, ends = opened(b.column("data")[i].as_buffer(), "t")
+                gone = covered(raw, ends, b.column("found")[i].as_py(), size)
+                sizes, spans, kept = [], [], []
+                for at, end, cuts in pieces(gone, ends):
+                    sizes.append(end - at)
+                    spans.append([{"begin": s, "end": e} for s, e in cuts])
+                    kept.append(raw[at:end][~gone[at:end]].tobytes())
+                columns = [own.column("id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "spans", "kept"])
+
+    return found_spans(blocked(rows, "t"), size, "t").mapInArrow(run, "id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+
+
+def without_repeats(docs: DataFrame, size: int = 200, text_col: str = "text") -> DataFrame:
     """``docs`` with texts that lost their repeated bytes; bytes that no longer form a character go.
 
     A null text stays null. A long ``n_chars`` is counted anew.
     """
-    rows = rowed(docs, "doc_id", "text")
-    found = found_spans(rows, size, "text")
+    counted = dict(docs.dtypes).get("n_chars") == "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            text, spans = b.column("text"), b.column("found").to_pylist()
-            for t, f in zip(text_bytes(text), spans, strict=True):
-                if f is None:
-                    out.append(t.decode())
-                    continue
-                at, left = 0, []
-                for s, e in covered(f):
-                    left.append(t[at:s])
-                    at = e
-                out.append(b"".join([*left, t[at:]]).decode(errors="ignore"))
-            text = pa.array([o if v else None for o, v in zip(out, text.is_valid().to_pylist(), strict=True)], pa.string())
-            changed = {"text": text} | ({"n_chars": pc.cast(pc.utf8_length(text), pa.int64())} if counted else {})
-            yield pa.RecordBatch.from_arrays([changed.get(c, b.column(c)) for c in names], names)
-
-    names, counted = docs.columns, dict(docs.dtypes).get("n_chars") == "bigint"
-    return rows.join(found, ROW, "left").select(*docs.columns, "found").mapInArrow(run, docs.schema)
+            for i in range(b.num_rows):
+                own, raw, ends = opened(b.column("data")[i].as_buffer(), text_col)
+                gone = covered(raw, ends, b.column("found")[i].as_py(), size)
+                left = [raw[at:end][~gone[at:end]].tobytes().decode(errors="ignore") for at, end, _ in pieces(gone, ends)]
+                text = pa.array([t if v else None for t, v in zip(left, own.column(text_col).is_valid().to_pylist(), strict=True)], pa.string())
+                changed = {text_col: text} | ({"n_chars": pc.cast(pc.utf8_length(text), pa.int64())} if counted else {})
+                yield from pa.table([changed.get(c, own.column(c)) for c in own.column_names], own.column_names).to_batches()
+
+    return found_spans(blocked(docs, text_col), size, text_col).mapInArrow(run, docs.schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,9 +33,10 @@ def corpus():
     return texts + [near, near, near] + [text(40) + long + text(40) for _ in range(40)] + [text(3000) * 2]
 
 
-@pytest.mark.parametrize("part", [4096, 5])
-def test_equals_brute_force(spark, monkeypatch, part):
+@pytest.mark.parametrize(("part", "block"), [(1024, 2 << 20), (5, 4000), (1, 700)])
+def test_equals_brute_force(spark, monkeypatch, part, block):
     monkeypatch.setattr(S, "PART", part)
+    monkeypatch.setattr(S, "BLOCK", block)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").repartition(3)
     got = {r.id: (r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans), bytes(r.kept)) for r in S.deduplicated(docs).collect()}
@@ -45,12 +46,21 @@ def test_equals_brute_force(spark, monkeypatch, part):
     assert left[0] is None and left[2] == "short" and left[7] == ""
 
 
-def test_anchors_cover_every_window():
-    raw = np.frombuffer(("ab" * 300 + "c" * 500 + "".join(map(str, range(900)))).encode(), np.uint8)
-    p, _, low, high = S.anchors(raw, 200)
-    assert low[0] == 0 and (low[1:] == high[:-1] + 1).all() and high[-1] == len(raw) - 200
-    for i in range(len(raw) - 199):
-        assert ((p >= i) & (p <= i + 200 - S.K)).any()
+def test_anchors_cover_every_window(monkeypatch):
+    texts = [b"ab" * 300 + b"c" * 500 + "".join(map(str, range(900))).encode(), b"", b"x" * 199, b"y" * 200, bytes(range(1, 250)) * 4]
+    raw, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    whole = S.anchors(raw, ends, 200)
+    monkeypatch.setattr(S, "CHUNK", 1000)
+    cut = S.anchors(raw, ends, 200)
+    for a, b in zip(whole, cut, strict=True):
+        assert a.tolist() == b.tolist()
+    h, low, high, dig = whole
+    want = [e - len(t) + i for t, e in zip(texts, ends, strict=True) for i in range(len(t) - 199)]
+    assert [i for s, e in zip(low, high, strict=True) for i in range(s, e + 1)] == want
+    same: dict = {}
+    for s, e, d in zip(low, high, dig, strict=True):
+        same.setdefault(int(d), set()).add(raw[s : e + 200].tobytes())
+    assert all(len(v) == 1 for v in same.values()) and len(same) == len({raw[s : e + 200].tobytes() for s, e in zip(low, high, strict=True)})
 
 
 def test_suffix_order_and_prefixes():
@@ -83,5 +93,24 @@ def test_regions_that_differ_after_256_shared_bytes():
         assert sum(map(len, heads)) == len(n)
 
 
+def test_texts_longer_than_a_chunk(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    long, shared = text(S.CHUNK + 70_000), text(500)
+    texts = [long, shared + text(300), long[-900:] + "é" + shared, long[S.CHUNK - 400 : S.CHUNK + 400]]
+    got = {r.id: (r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans), bytes(r.kept)) for r in S.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(4)] == brute(texts, 200)
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    a, b, c = "a" * 150 + "b" * 150, "".join(map(str, range(400))), "lone " * 30
+    rows = [(None, a, 1, "x", 0), (None, c, 2, None, 0), (7, a, 3, "y", 0), (7, b, 4, "z", 0), (7, b, 4, "z", 0), (8, None, 5, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block int, found string, h long").repartition(3)
+    left = S.without_repeats(docs)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(None, "", 1, "x", 0), (None, c, 2, None, 0), (7, "", 3, "y", 0), (7, "", 4, "z", 0), (7, "", 4, "z", 0), (8, None, 5, "", 0)], key=str)
+
+
 def test_empty_table(spark):
+    assert S.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert S.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
