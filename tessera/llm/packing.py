@@ -1,7 +1,7 @@
 """Packing by bounded-space online best fit.
 
 Each partition keeps ``OPEN`` windows. A document's tokens go whole where they fit with the least
-room left. When they fit nowhere, the fullest window is filled to its end with the document's first
+room left, of windows with equal room into the one that was changed longest ago. When they fit nowhere, the fullest window is filled to its end with the document's first
 tokens and emitted, and the rest is placed again, so an emitted window has no padding. At a
 partition's end its open windows are poured together, which leaves at most one partial window; the
 partial windows of ``MERGE`` partitions are poured together in turn. What is padded is at most one
@@ -93,8 +93,10 @@ class Words:
     """Token ids of words as little-endian 32-bit integers; words once seen are remembered.
 
     The tokenizer drops white space, ignores ASCII case and starts anew between a letter or digit
-    and a mark of punctuation, so words are cut there. Words of letters alone have one last token,
-    marked by its ``</w>``, and many of them are encoded in one call and told apart by it.
+    and a mark of punctuation, so words are cut there. Only special strings depend on case: a word that
+    holds one in any case is kept as it stands. A word of letters alone has at least one last token,
+    marked by its ``</w>``; many of them are encoded in one call, and if there are as many last tokens as
+    words, each word has just one and is told apart by it.
     """
 
     def __init__(self, path: str):
@@ -102,12 +104,13 @@ class Words:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def learn(self, words: list[bytes]) -> None:
         known, bare, cut, rest = self.known, {}, [], []
         for w in words:
             core = w.rstrip(TAIL)
-            if len(core) < len(w) and core and ((text := core.decode())[-1].isalpha() or core[-1:].isdigit()):
+            if len(core) < len(w) and core and ((text := core.decode())[-1].lower()[-1].isalpha() or core[-1:].isdigit()):
                 cut.append((w, core))
                 if (tail := w[len(core) :]) not in known:
                     rest.append(tail.decode())
@@ -126,7 +129,8 @@ class Words:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
         if len(ends) != len(words):
-            return self.apart(words)
+            half = len(words) // 2
+            return self.apart(words) if half < 8 else (self.together(words[:half]), self.together(words[half:]))
         raw = ids.tobytes()
         self.known.update((w.encode(), raw[s:e]) for w, s, e in zip(words, [0, *ends], ends, strict=False))
 
@@ -134,8 +138,14 @@ class Words:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.known[w.encode()] = np.array(e.ids, "<u4").tobytes()
 
+    def split(self, text: str) -> list[bytes]:
+        low = text.encode().lower()
+        if any(s in low for s in self.special):
+            return [raw if any(s in w for s in self.special) else w for raw, w in zip(text.encode().split(), low.split(), strict=True)]
+        return low.split()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().lower().split() for t in texts]
+        split = [self.split(t) for t in texts]
         # what a batch needs is a small table of its own
         every = set().union(*split)
         near = dict(zip(every, map(self.known.get, every), strict=True))

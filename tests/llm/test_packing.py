@@ -34,13 +34,36 @@ def test_round_trip(spark):
 WORDS = packing.Words(PATH)
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from("abAZ1'st.,!#& \n\u0085é\u0301ßΣσ一<|endoftext>-"), max_size=12), max_size=8))
+SPECIAL = st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTofTEXT|>", "A<|endoftext|>b.", "x<|ENDOFTEXT|>,", "İstanbul", "<|endoftext|", " "])
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.one_of(SPECIAL, st.text(alphabet=st.sampled_from("abAZ1'st.,!#& \n\u0085é\u0301ßΣσİ一<|endoftext>-"), max_size=12)), max_size=10))
 def test_words_equal_the_tokenizer(parts):
     text = " ".join(parts)
     want = WORDS.tokenizer.encode(text, add_special_tokens=False).ids
     assert WORDS([text])[0] == b"".join(i.to_bytes(4, "little") for i in want)
 
 
+def test_letters_that_fall_apart_in_lower_case():
+    words = packing.Words(PATH)
+    text = " ".join(["İzmir" if i % 50 == 7 else f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)])
+    assert words([text])[0] == b"".join(i.to_bytes(4, "little") for i in words.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "one two", 1), (None, "one two", 1), (3, "x", 2), (3, "x", 2), (3, None, 2)]
+    got = sorted((r.id or 0, r.start, r.length, r.doc_tokens) for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string, sequence_id int"), PATH, 2).collect())
+    assert got == [(0, 0, 3, 3), (0, 0, 3, 3), (3, 0, 1, 1), (3, 0, 2, 2), (3, 0, 2, 2)]
+
+
+def test_ties_go_to_the_window_changed_longest_ago():
+    packer = packing.Packer(10, 3)
+    for d in (1, 2, 3):
+        assert not list(packer.add(d, 0, 6, b"\0\0\0\0" * 6))
+    assert not list(packer.add(4, 0, 2, b"\0\0\0\0" * 2))
+    assert [[p[0] for p in pieces] for pieces, _ in packer.windows] == [[2], [3], [1, 4]]
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH, 2).count() == 0
