@@ -8,7 +8,8 @@ are compressed and written once to the shared folder. A block is what later step
 rightmost of equals) is its anchor. Equal windows have equal anchors at equal offsets, so a window
 can repeat only if its anchor's hash stands twice; a block names each of its anchors once, so a hot one costs a short row
 a block. The region of an anchor holds the windows that it anchors; each window is in one.
-*Suffix arrays.* The regions of all anchors that stand twice are dealt by anchor to shards of about ``SHARD`` bytes.
+If all regions of an anchor are equal, there is nothing to tell apart: all their windows repeat, and nothing else has them.
+*Suffix arrays.* The regions of all other anchors that stand twice are dealt by anchor to shards of about ``SHARD`` bytes.
 Equal regions collapse to one that counts its copies; a block sends each but once. A shard's suffixes are sorted by Larsson-Sadakane
 refinement: ranks of prefixes double in length, and only suffixes still in a group are sorted again. Kasai's
 method, run over all regions in step, gives the common prefix of neighbours; a window repeats if
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, partitions, table
 
 #: Bytes of text in a block, of an anchor, and of a shard of regions; regions of one anchor in a shard; bytes hashed at once.
-BLOCK, K, SHARD, PART, CHUNK = 2 << 20, 32, 4 << 20, 1024, 1 << 20
+BLOCK, K, SHARD, PART, CHUNK = 2 << 20, 32, 2 << 20, 1024, 1 << 20
 #: Regions that a task remembers to have sent.
 SENT = 200_000
 _RNG = np.random.default_rng(7)
@@ -274,16 +275,21 @@ def found_spans(blocks: DataFrame, size: int, text_col: str) -> DataFrame:
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 _, raw, ends = opened(data.as_buffer(), text_col)
-                h, n = np.unique(anchors(raw, ends, size)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), block)), pa.array(n.astype(np.int32))], ["h", "block", "n"])
+                h, _, _, dig = anchors(raw, ends, size)
+                order = np.lexsort((dig, h))
+                h, dig = h[order].view(np.int64), dig[order].view(np.int64)
+                first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+                last = np.append(first[1:], len(h))[: len(first)] - 1
+                columns = [h[first], np.full(len(first), block), (last - first + 1).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(dig[first], mask=dig[first] != dig[last])], ["h", "block", "n", "dig"])
 
     every = Window.partitionBy("h")
     shared = (
         blocks.select("block", "data")
-        .mapInArrow(mark, "h long, block long, n int")
-        .withColumn("all", F.sum("n").over(every))
+        .mapInArrow(mark, "h long, block long, n int, dig long")
+        .withColumns({"all": F.sum("n").over(every), "one": (F.min("dig").over(every) == F.max("dig").over(every)) & (F.count("dig").over(every) == F.count("*").over(every))})
         .where("all > 1")
-        .select("block", F.struct("h", F.ceil(F.col("all") / PART).cast("int").alias("parts")).alias("a"))
+        .select("block", F.struct("h", F.when(F.col("one"), 0).otherwise(F.ceil(F.col("all") / PART)).cast("int").alias("parts")).alias("a"))
     )
     asked = blocks.join(shared.groupBy("block").agg(F.collect_list("a").alias("asked")), "block").select("block", "data", "asked")
 
@@ -306,19 +312,26 @@ def found_spans(blocks: DataFrame, size: int, text_col: str) -> DataFrame:
                 own = own[new]
                 parts, h, dig = parts[at[own]], h[own], dig[own]
                 text, body = raw.tobytes(), []
-                for key, s, e in zip(zip(h.tolist(), dig.tolist(), strict=True), low[own].tolist(), (high[own] + size).tolist(), strict=True):
-                    body.append(None if key in sent else text[s:e])
-                    sent.add(key)
+                for key, p, s, e in zip(zip(h.tolist(), dig.tolist(), strict=True), parts.tolist(), low[own].tolist(), (high[own] + size).tolist(), strict=True):
+                    if not p or key in sent:
+                        body.append(None)
+                    else:
+                        body.append(text[s:e])
+                        sent.add(key)
                 if len(sent) > SENT:
                     sent.clear()
-                columns = [h, (dig % parts).astype(np.int32), dig, parts, np.full(len(own), block), copies]
+                columns = [h, (dig % np.maximum(parts, 1)).astype(np.int32), dig, parts, np.full(len(own), block), copies]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(body, pa.binary())], ["h", "part", "dig", "parts", "block", "n", "body"])
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []  # h, part, dig, parts, blocks, copies, body
         room = 0
         for b in batches:
-            for h, part, dig, parts, block, n, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            whole = pc.equal(b.column(3), 0)
+            if (alone := b.filter(whole)).num_rows:
+                empty = [pa.nulls(alone.num_rows, k) for k in (pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([alone.column(0), alone.column(2), alone.column(4), empty[0], pa.array(np.full(alone.num_rows, -1, np.int32)), empty[1]], ["h", "dig", "block", "spans", "cut", "run"])
+            for h, part, dig, parts, block, n, body in zip(*(c.to_pylist() for c in b.filter(pc.invert(whole)).columns), strict=True):
                 if held and held[-1][0] == h and held[-1][2] == dig:
                     last = held[-1]
                     last[4].append(block)
@@ -361,8 +374,8 @@ def found_spans(blocks: DataFrame, size: int, text_col: str) -> DataFrame:
         .mapInArrow(shard, "h long, dig long, block long, spans binary, cut int, run binary")
     )
     merged = solved_rows.where("cut >= 0").groupBy("h", "cut").applyInArrow(lambda t: merge(t, size), "h long, dig long, spans binary")
-    spans = solved_rows.where("cut < 0 and octet_length(spans) > 0").select("block", "h", "dig", "spans")
-    hot = solved_rows.where("cut < 0").select("block", "h", "dig").join(merged, ["h", "dig"]).select("block", "h", "dig", "spans")
+    spans = solved_rows.where("cut < 0 and (spans is null or octet_length(spans) > 0)").select("block", "h", "dig", "spans")
+    hot = solved_rows.where("cut < 0 and spans is not null").select("block", "h", "dig").join(merged, ["h", "dig"]).select("block", "h", "dig", "spans")
     found = spans.union(hot).groupBy("block").agg(F.collect_list(F.struct("h", "dig", "spans")).alias("found"))
     return blocks.join(found, "block", "left").select("block", "data", "found")
 
@@ -385,19 +398,23 @@ def covered(raw: np.ndarray, ends: np.ndarray, found: list[dict] | None, size: i
     """For each byte of a block's texts whether it goes."""
     edge = np.zeros(len(raw) + 1, np.int32)
     if found:
-        h, low, _, dig = anchors(raw, ends, size)
+        h, low, high, dig = anchors(raw, ends, size)
         own: dict[tuple, list[int]] = {}
         asked = {(f["h"], f["dig"]) for f in found}
         names = np.unique(np.array([k for k, _ in asked], np.int64))
         near = names[np.minimum(np.searchsorted(names, h.view(np.int64)), len(names) - 1)] == h.view(np.int64)
-        for x, d, s in zip(h[near].view(np.int64).tolist(), dig[near].view(np.int64).tolist(), low[near].tolist(), strict=True):
-            own.setdefault((x, d), []).append(s)
+        for x, d, s, e in zip(h[near].view(np.int64).tolist(), dig[near].view(np.int64).tolist(), low[near].tolist(), (high[near] + size).tolist(), strict=True):
+            own.setdefault((x, d), []).append((s, e))
         begin, end = [], []
         for f in found:
+            places = own.get((f["h"], f["dig"]), ())
+            if f["spans"] is None:
+                begin += [s for s, _ in places]
+                end += [e for _, e in places]
+                continue
             for s, e in np.frombuffer(f["spans"], "<i4").reshape(-1, 2).tolist():
-                for at in own.get((f["h"], f["dig"]), ()):
-                    begin.append(at + s)
-                    end.append(at + e)
+                begin += [at + s for at, _ in places]
+                end += [at + e for at, _ in places]
         np.add.at(edge, np.array(begin, np.int64), 1)
         np.subtract.at(edge, np.array(end, np.int64), 1)
     return np.cumsum(edge[:-1]) > 0
