@@ -1,20 +1,24 @@
 """Quality rules as weak supervision.
 
-Each rule votes good (1), bad (-1) or abstains (0) on a document. Expectation-maximisation over the
-counts of the vote patterns estimates, without labels, how often documents are good and how each
-rule votes on good and on bad ones; a document's verdict is its posterior probability of being good.
-The counts cover all documents; what reaches the driver is one row for each vote pattern, at most
-``3 ** len(RULES)`` of them whatever the corpus holds. A hard floor (too few words, or too many of
+Each rule votes good (1), bad (-1) or abstains (0) on a document. A document is good, malformed or offensive;
+expectation-maximisation over the counts of the vote patterns estimates how frequent each of the three is and how often each rule
+votes bad on each, so a rule that errs loses its weight and a verdict is the posterior probability of good, not the absence of bad
+votes. An abstention says nothing. It starts from beliefs (``BELIEF``, ``SHARE``) that weigh no more than ``PRIOR`` votes. A
+labelled document counts for the class of its label; that tells the classes apart where the rules alone could not, and so
+unlabelled ones together weigh at most ``UNLABELLED`` of it. Its own verdict comes from its votes like any other.
+The counts cover all documents; what reaches the driver is one row for each vote pattern and label, at most
+``4 * 3 ** len(RULES)`` of them whatever the corpus holds. A hard floor (too few words, or too many of
 them in repeated windows) rejects before any vote.
 
 One rule needs beginnings of words that give toxic texts away (beginnings, as words are inflected).
 They are learnt as a decision list from labelled rows: of the beginnings that occur almost only in
 toxic texts, or that at least two or three different words of a text share only there, the one that
 explains most texts comes first, then the one that explains most of the rest, until one explains too
-few. The sample is bounded by ``LABELLED`` rows; the rule then reads
+few. The sample is bounded by ``LABELLED`` rows, of which ``LEARNT`` in five teach the beginnings; there the rule counts as
+abstaining, and its accuracy is estimated from the rest. The rule then reads
 every whole text. Without labels, or with too few of them to learn from, it abstains.
 
-Nulls and edge cases: a null or empty text has no words and is rejected by the floor; rows with
+Nulls and edge cases: a null or empty text has no words and is rejected by the floor; a posterior of exactly 0.5 is kept; rows with
 null or repeated ids are judged each on their own; an empty table gives an empty result; columns
 with clashing names are ignored, or passed through by ``filtered``.
 """
@@ -29,17 +33,18 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import ALNUM, cut, table
 from tessera.llm.decontamination import words
 
 WINDOW = 8
-#: Share of good documents that is assumed, and the weight of the prior counts in corpus sizes.
-BALANCE, PRIOR = 0.7, 2.0
 #: Labelled rows that toxic stems are learnt from; the least share of a stem's labelled texts that are
 #: toxic; the least share and number of toxic texts that a further stem must explain; its characters; the most
 #: words of a text that it is asked to begin.
 LABELLED, PRECISION, GAIN, SUPPORT, SHORTEST, LONGEST, TIMES = 50_000, 0.98, 0.01, 5, 4, 12, 3
+#: Of five labelled rows, those that stems are learnt from.
+LEARNT = 4
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bars", "n_unique", "n_lines", "n_toxic"]
 SYMBOLS = b"#*$%&|<>"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -104,14 +109,25 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame | None:
         return None
 
 
-def toxic_stems(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """The decision list of toxic beginnings of words and of how many words begin so, learnt from about ``LABELLED`` rows of ``labelled (doc_id, toxic)``."""
-    marks = labelled.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+def sampled(labelled: DataFrame) -> DataFrame:
+    """(doc_id, label, learnt, toxic): about ``LABELLED`` rows of ``labelled (doc_id, toxic[, quality])``, one for each id.
+
+    label is 0 for good, 1 for malformed, 2 for toxic, null where neither column tells; learnt rows teach the stems.
+    """
+    quality = F.min("quality") if "quality" in labelled.columns else F.lit(None).cast("int")
+    marks = labelled.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"), quality.alias("quality"))
     share = min(1.0, LABELLED / max(1, marks.count()))
     if share < 1:
-        marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    label = F.when(F.col("quality") == 0, 1).when(F.col("toxic") == 1, 2).when((F.col("quality") == 1), 0)
+    return cut(marks.select("doc_id", label.alias("label"), (F.pmod(F.xxhash64("doc_id", F.lit("learnt")), F.lit(5)) < LEARNT).alias("learnt"), "toxic"))
+
+
+def toxic_stems(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
+    """The decision list of toxic beginnings of words and of how many words begin so, from the rows of ``marks (doc_id, toxic)``."""
+    told = marks.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     # about LABELLED rows of 12 bytes
-    seen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(marks), "id")
+    seen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(F.broadcast(told), "id")
     seen = cut(seen.groupBy(F.xxhash64("t").alias("text")).agg(F.max("toxic").alias("toxic"), F.first(F.array_distinct(words(F.col("t")))).alias("w")))
     least = max(SUPPORT, GAIN * seen.where("toxic = 1").count())
 
@@ -124,11 +140,13 @@ def toxic_stems(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
                     kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["text", "toxic", "stem", "times"])
 
+    def each(rows: DataFrame) -> DataFrame:
+        return rows.select("text", F.col("toxic").cast("int"), "w").mapInArrow(begin, "text long, toxic int, stem string, times int")
+
     # a text's stems are counted where it stands; only sums by stem are shuffled
-    each = seen.select("text", F.col("toxic").cast("int"), "w").mapInArrow(begin, "text long, toxic int, stem string, times int")
-    tells = each.groupBy("stem", "times").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where((F.col("bad") >= least) & (F.col("bad") >= PRECISION * F.col("n")))
-    # toxic texts of the sample only, with the stems that tell
-    left = [{(x["stem"], x["times"]) for x in r["told"]} for r in each.where("toxic = 1").join(tells, ["stem", "times"]).groupBy("text").agg(F.collect_set(F.struct("stem", "times")).alias("told")).collect()]
+    tells = each(seen).groupBy("stem", "times").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where((F.col("bad") >= least) & (F.col("bad") >= PRECISION * F.col("n")))
+    # toxic texts of the sample only, with the stems that tell: a text names at most LONGEST - SHORTEST + 1 for each of its words
+    left = [{(x["stem"], x["times"]) for x in r["told"]} for r in each(seen.where("toxic = 1")).join(tells, ["stem", "times"]).groupBy("text").agg(F.collect_set(F.struct("stem", "times")).alias("told")).collect()]
     found = []
     while left:
         best, gain = min(Counter(x for told in left for x in told).items(), key=lambda x: (-x[1], x[0]))
@@ -139,22 +157,19 @@ def toxic_stems(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     return found
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic: list[tuple[str, int]] = ()) -> DataFrame:
-    """(id, *COUNTS) of every row's whole text."""
+def measured(rows: DataFrame, toxic: list[tuple[str, int]] = ()) -> DataFrame:
+    """``rows`` with COUNTS of every whole text in its last column in place of that."""
     stems = [(w.encode(), times) for w, times in toxic]
     bad = {n: {w: times for w, times in reversed(stems) if len(w) == n} for n in {len(w) for w, _ in stems}}
+    names = [*rows.columns[:-1], *COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [counts(t or "", bad) for t in b.column(1).to_pylist()]
+            found = [counts(t or "", bad) for t in b.columns[-1].to_pylist()]
             columns = zip(*found, strict=True) if found else [[] for _ in COUNTS]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], ["id", *COUNTS]
-            )
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.int64()) for c in columns)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(
-        run, "id long, " + ", ".join(f"{c} long" for c in COUNTS)
-    )
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in COUNTS)]))
 
 
 def ratio(a: str, b: str) -> Column:
@@ -169,19 +184,27 @@ def vote(good: Column, bad: Column) -> Column:
 RULES = ["symbols", "repeats", "lines", "word_length", "capitals", "tables", "variety", "toxicity"]
 
 
-def votes_of() -> dict[str, Column]:
+#: The classes good, malformed and offensive: shares, and rates of bad votes of each rule, that are believed at first; the
+#: votes that such a belief weighs.
+SHARE = np.array([0.85, 0.1, 0.05])
+BELIEF = np.array([[0.02] * 8, [0.3] * 7 + [0.05], [0.02] * 7 + [0.9]])
+PRIOR = 5.0
+#: Weight of all unlabelled documents together, at most, in that of the labelled ones, if there are any.
+UNLABELLED = 0.5
+
+
+def votes_of(toxicity: bool) -> dict[str, Column]:
     """Rule to vote. A function, as columns need a session and workers import this module."""
-    no = F.lit(False)
     return {
-        "symbols": vote(no, ratio("n_symbols", "n_words") > 0.1),
-        "repeats": vote(ratio("n_repeat_words", "n_words") < 0.2, ratio("n_repeat_words", "n_words") > 0.25),
-        "lines": vote(no, (F.col("n_dup_lines") >= 3) & (ratio("n_dup_lines", "n_lines") > 0.3)),
+        "symbols": vote(ratio("n_symbols", "n_words") < 0.02, ratio("n_symbols", "n_words") > 0.1),
+        "repeats": vote(ratio("n_repeat_words", "n_words") < 0.1, ratio("n_repeat_words", "n_words") > 0.2),
+        "lines": vote(ratio("n_dup_lines", "n_lines") < 0.1, (F.col("n_dup_lines") >= 3) & (ratio("n_dup_lines", "n_lines") > 0.3)),
         "word_length": vote(ratio("word_chars", "n_words").between(3, 10), ~ratio("word_chars", "n_words").between(2, 14)),
-        "capitals": vote(no, ratio("n_upper", "word_chars") > 0.3),
-        "toxicity": vote(no, F.col("n_toxic") > 0),
-        "tables": vote(no, ratio("n_bars", "n_words") > 0.1),
+        "capitals": vote(ratio("n_upper", "word_chars") < 0.1, ratio("n_upper", "word_chars") > 0.3),
+        "toxicity": vote(F.col("n_toxic") == 0, F.col("n_toxic") > 0) if toxicity else F.lit(0),
+        "tables": vote(ratio("n_bars", "n_words") < 0.02, ratio("n_bars", "n_words") > 0.1),
         "variety": vote(
-            (F.col("n_words") >= 20) & (ratio("n_unique", "n_words") > 0.2),
+            (F.col("n_words") >= 20) & (ratio("n_unique", "n_words") > 0.3),
             (F.col("n_words") >= 20) & (F.col("n_words") <= 2000) & (ratio("n_unique", "n_words") < 0.1),
         ),
     }
@@ -191,53 +214,81 @@ def floor() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def fitted(votes: np.ndarray, weight: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Posterior probability of good for each vote pattern, by expectation-maximisation.
+def fitted(votes: np.ndarray, weight: np.ndarray, label: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior probability of good for each vote pattern, by expectation-maximisation, and the rates of bad votes by class and rule.
 
-    Patterns (rows of -1, 0, 1) come with their counts. It starts from the belief that a bad vote
-    is a rare and strong sign and a good one a weak sign. An abstention says nothing. Prior counts,
-    a share of the corpus, keep each rule better than chance, so the classes can't trade places.
+    Patterns (rows of -1, 0, 1) come with their counts and labels: a class, or -1 for none. The first estimate is that of
+    the beliefs and the labelled rows alone.
     """
-    if not len(votes):
-        return np.zeros(0)
-    weight = weight.astype(float)
-    good = 1 / (1 + np.exp(-(np.where(votes < 0, -6.0, votes * 0.8)).sum(axis=1)))
+    bad, good = (votes < 0).astype(float), (votes > 0).astype(float)
+    known = (label >= 0)[:, None]
+    told = (label[:, None] == np.arange(len(SHARE))).astype(float)
+    if known.any():  # else the many would soon drown what the labels say
+        mass = weight[~known[:, 0]].sum()
+        weight = np.where(known[:, 0], weight, weight * min(1.0, UNLABELLED * (weight.sum() - mass) / max(mass, 1.0)))
+    post = np.zeros((len(votes), len(SHARE)))
     for _ in range(rounds):
-        w1, w0 = weight * good, weight * (1 - good)
-        strength = PRIOR * weight.sum() + 1
-        log = np.full(len(votes), np.log(BALANCE / (1 - BALANCE)))
-        for k in range(votes.shape[1]):
-            v = votes[:, k]
-            p1 = np.array([w1[v == x].sum() for x in (-1, 0, 1)]) + strength * np.array([0.002, 0.198, 0.8])
-            p0 = np.array([w0[v == x].sum() for x in (-1, 0, 1)]) + strength * np.array([0.29, 0.01, 0.7])
-            log += np.where(v == 0, 0, (np.log(p1 / p1.sum()) - np.log(p0 / p0.sum()))[v + 1])
-        new = 1 / (1 + np.exp(-log))
-        if np.abs(new - good).max() < 1e-6:
+        w = weight[:, None] * np.where(known, told, post)
+        n_bad, n_good = w.T @ bad, w.T @ good
+        rate = (n_bad + PRIOR * BELIEF) / (n_bad + n_good + PRIOR)
+        share = (w.sum(axis=0) + PRIOR * SHARE) / (w.sum() + PRIOR)
+        log = np.log(share) + bad @ np.log(rate).T + good @ np.log(1 - rate).T
+        new = np.exp(log - log.max(axis=1, keepdims=True, initial=-1e300))
+        new /= new.sum(axis=1, keepdims=True)
+        if np.abs(new - post).max(initial=0) < 1e-9:
             break
-        good = new
-    return good
+        post = new
+    return post[:, 0], rate
+
+
+def posteriors(seen: DataFrame, marks: DataFrame | None) -> DataFrame:
+    """(votes, posterior) of the vote patterns in ``seen (id, base_failed, votes)``: at most 3 ** len(RULES) rows."""
+    spark, names = seen.sparkSession, [f"v_{n}" for n in RULES]
+    both = seen.where("not base_failed").select("id", *names)
+    if marks is None:
+        both = both.withColumn("label", F.lit(-1))
+    else:
+        # about LABELLED rows of 13 bytes
+        both = both.join(F.broadcast(marks.where("label is not null").select(F.col("doc_id").alias("id"), "label", "learnt")), "id", "left")
+        both = both.withColumns({"v_toxicity": F.when(F.coalesce("learnt", F.lit(False)), 0).otherwise(F.col("v_toxicity")), "label": F.coalesce("label", F.lit(-1))})
+    told = both.groupBy(*names, "label").agg(F.count("*").alias("n")).orderBy(*names, "label").collect()
+    met = [tuple(r[n] for n in names) for r in told]
+    # a pattern may stand only with the vote that learnt rows lose
+    every = sorted({*met, *((*m[: (i := RULES.index("toxicity"))], v, *m[i + 1 :]) for m in met for v in (-1, 0, 1))})
+    votes = np.array([*met, *every], int).reshape(-1, len(names))
+    weight, label = (np.array([r[c] for r in told] + [d] * len(every), int) for c, d in (("n", 0), ("label", -1)))
+    good, _ = fitted(votes, weight.astype(float), label)
+    rows = [(*map(int, v), float(g)) for v, g in zip(every, good[len(met) :], strict=True)]
+    return F.broadcast(spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names) + ", posterior double"))
+
+
+def voted(rows: DataFrame, toxic: list[tuple[str, int]]) -> DataFrame:
+    """``measured`` with the floor's verdict and the votes."""
+    return measured(rows, toxic).select("*", floor().alias("base_failed"), *(v.cast("int").alias(f"v_{n}") for n, v in votes_of(bool(toxic)).items()))
+
+
+def learnt(docs: DataFrame, labelled: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame | None, list[tuple[str, int]]]:
+    """The sample of labelled rows and the toxic stems that its learnt rows teach."""
+    if labelled is None:
+        return None, []
+    marks = sampled(labelled)
+    return marks, toxic_stems(docs, marks.where("learnt"), id_col, text_col)
 
 
 def judged(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, *COUNTS, base_failed, posterior, kept) for every row."""
-    toxic = [] if labelled is None else toxic_stems(docs, labelled, id_col, text_col)
-    seen = cut(measured(docs, id_col, text_col, toxic).select("*", floor().alias("base_failed"), *(v.alias(f"v_{n}") for n, v in votes_of().items())))
-    names = [f"v_{n}" for n in RULES]
-    patterns = seen.where("not base_failed").groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()
-    votes = np.array([[r[n] for n in names] for r in patterns], int).reshape(-1, len(names))
-    good = fitted(votes, np.array([r["n"] for r in patterns], float))
-    known = docs.sparkSession.createDataFrame(
-        [(*map(int, v), float(g)) for v, g in zip(votes, good, strict=True)], ", ".join(f"{n} int" for n in names) + ", posterior double"
-    )
-    # at most 3 ** len(RULES) rows
-    both = seen.join(F.broadcast(known), names, "left")
+    marks, toxic = learnt(docs, labelled, id_col, text_col)
+    seen = cut(voted(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), toxic))
+    both = seen.join(posteriors(seen, marks), [f"v_{n}" for n in RULES], "left")
     return both.select("id", *COUNTS, "base_failed", "posterior", (~F.col("base_failed") & (F.col("posterior") >= 0.5)).alias("kept"))
 
 
 def filtered(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` that are kept. A repeated or null id goes only if every row with it is rejected."""
-    kept = judged(docs, labelled).where("kept").select(F.col("id").alias("__id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of ``docs`` that are kept, each judged by its own text: read once for the patterns and once more for the verdict."""
+    marks, toxic = learnt(docs, labelled)
+    known = posteriors(voted(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t")), toxic), marks)
+    seen = voted(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("t")), toxic)
+    return seen.where("not base_failed").join(known, [f"v_{n}" for n in RULES]).where("posterior >= 0.5").select("row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
