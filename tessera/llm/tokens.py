@@ -1,13 +1,15 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-A text is split at safe boundaries, single spaces between two other non-space characters, where the
-pre-tokenizer always begins a new piece with the space. The pieces' counts add up to the text's, so
+A text is split at safe boundaries: before white space that follows anything else, and between an ideographic mark and a
+letter. The pre-tokenizer looks ahead only for the end of white space and never joins white space to what stands before it, so it begins a new piece
+there in any script. Pieces of more than ``LONG`` characters are split between letters and digits as well. What is left is a run of one class,
+which the pre-tokenizer takes as one piece itself. The pieces' counts add up to the text's, so
 a long text never goes to the encoder whole, and a piece that was seen before is looked up. Unknown
 pieces are gathered over a batch and encoded in calls balanced by bytes. The memory of a worker is
 bounded by the number of pieces it remembers.
 
 Nulls and edge cases: a null text counts as empty (0 bytes, 0 tokens); special strings in a text
-are handled as the library does by default; rows with a null or repeated id are counted like any
+are handled as the library does by default (no boundary lies in one); rows with a null or repeated id are counted like any
 other; columns that are not asked for are ignored.
 """
 
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-#: Bytes of one call of the encoder, and pieces that a worker remembers.
-CALL_BYTES, REMEMBERED = 1 << 18, 300_000
-#: A safe boundary: a single space with a letter, digit or mark of punctuation on both sides.
-SAFE = re.compile(r"(?<=[!-~]) (?=[!-~])")
+#: Bytes of one call of the encoder, pieces that a worker remembers, and characters that make a piece a long one.
+CALL_BYTES, REMEMBERED, LONG = 1 << 18, 300_000, 4096
+#: A safe boundary. What some definition or other calls white space is none of its left sides.
+SAFE = re.compile(r"(?<=[^\s\x1c-\x1f\u180e\u200b\ufeff])(?=[ \t\n\r\f\v\u00a0\u2028\u3000])|(?<=[。！？；，、])(?=[^\W\d_])")
+SAFE_ASCII = re.compile(r"(?<=[!-~])(?=[ \t\n])")
+CLASSES = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 
 def encoder(path: str):
@@ -37,22 +41,30 @@ def encoder(path: str):
     return Tokenizer.from_file(path)
 
 
+def size_of(text: str) -> int:
+    """Bytes of a text in UTF-8."""
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def by_bytes(pieces: list[str], most: int = CALL_BYTES) -> Iterator[list[str]]:
     """Runs of pieces of about ``most`` bytes each, in order; a longer piece is a run of its own."""
     run, size = [], 0
     for p in pieces:
-        if run and size + len(p) > most:
+        n = size_of(p)
+        if run and size + n > most:
             yield run
             run, size = [], 0
         run.append(p)
-        size += len(p)
+        size += n
     if run:
         yield run
 
 
 def pieces_of(text: str) -> list[str]:
-    cuts = SAFE.sub("\0 ", text) if "\0" not in text else None
-    return cuts.split("\0") if cuts is not None else [text]
+    pieces = (SAFE_ASCII if text.isascii() else SAFE).split(text)
+    if len(text) > LONG and max(map(len, pieces)) > LONG:
+        return [q for p in pieces for q in (CLASSES.split(p) if len(p) > LONG else [p])]
+    return pieces
 
 
 def lengths(texts: list[str], tokenizer, known: dict[str, int]) -> list[int]:
@@ -78,7 +90,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             texts, counts, sizes = [t or "" for t in b.column(1).to_pylist()], [], []
             for part in by_bytes(texts):
                 counts += lengths(part, tokenizer, known)
-                sizes += [len(t.encode()) for t in part]
+                sizes += map(size_of, part)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())],
                 ["id", "n_bytes", "n_tokens"],
