@@ -3,13 +3,14 @@
 Records are ordered by the hash of their text and then by their place in the input, so equal texts
 are neighbours and yet a hot text can be cut anywhere. A size-weighted sample of these keys gives
 quantile boundaries that range-partition the records; the exact bytes of every range are then added
-up, and ranges that came out overfull are subdivided at sample points of their own. Running sizes
+up, and ranges that came out overfull are sampled anew and subdivided, until none is left that holds more than one
+record. Running sizes
 inside the ranges and the sums of the ranges before place each record exactly, so the shards' bytes
-differ by at most about one record whatever the sample was. The driver sees the sample (about
-``PER_RANGE`` keys a range) and a row for each range.
+differ by at most about one record whatever the sample was. There are at most ``RANGES`` ranges, however many the records are,
+so the driver sees a sample of a fixed size (about ``PER_RANGE`` keys a range) and a row for each range.
 
 Nulls and edge cases: a null text has no bytes (size 1, CRC-32 of nothing); null and repeated ids and
-equal rows are placed like any other; an empty table gives no rows; other columns are ignored.
+equal rows are placed like any other; a text larger than a range is a range of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, table
 
-#: Sample keys drawn for a range, rows that a range should hold, and the excess that makes it overfull.
-PER_RANGE, ROWS, OVERFULL = 64, 50_000, 1.5
+#: Sample keys drawn for a range, rows that a range should hold, ranges at most, and the excess that makes one overfull.
+PER_RANGE, ROWS, RANGES, OVERFULL = 64, 50_000, 4096, 1.5
 KEYED = "id long, size long, crc long, key long, n long, range int"
 
 
@@ -47,6 +48,27 @@ def ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
     return rows.select("id", "size", "crc", "key", "n").mapInArrow(run, KEYED)
 
 
+def drawn(placed: DataFrame, over: dict[int, int], most: float, turn: int) -> list[tuple[int, int]]:
+    """Quantiles of a size-weighted sample of the ranges ``over`` (to their bytes) that cut them into parts of ``most`` bytes.
+
+    The sample has about ``PER_RANGE`` keys for each part, and so at most as many as there are parts of the whole. A record
+    of more than ``most`` bytes, of which there are no more than parts, is drawn always and gets a part of its own.
+    """
+    uniform = F.pmod(F.xxhash64("key", "n", F.lit(turn)), F.lit(1 << 31)) / float(1 << 31)
+    met = placed.where(F.col("range").isin(sorted(over))).where(uniform < F.col("size") * (PER_RANGE / most))
+    sample: dict[int, list[tuple[int, int]]] = {}
+    out = []
+    for r in met.select("range", "key", "n", "size").collect():
+        sample.setdefault(r["range"], []).append((r["key"], r["n"]))
+        if r["size"] > most:
+            out += [(r["key"], r["n"]), (r["key"], r["n"] + 1)]
+    for r, keys in sample.items():
+        keys.sort()
+        parts = max(2, round(over[r] / most))
+        out += [keys[len(keys) * i // parts] for i in range(1, parts)]
+    return out
+
+
 def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, crc, shard, slot): shards of near equal bytes, slots without gaps in each."""
     spark = docs.sparkSession
@@ -62,21 +84,19 @@ def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     )
     whole = rows.agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).first()
     total = whole["bytes"] or 1
-    ranges = max(8 * shards, -(-whole["rows"] // ROWS))
-    rate = PER_RANGE * ranges / total
-    uniform = F.pmod(F.xxhash64("key", "n", F.lit(42)), F.lit(1 << 31)) / float(1 << 31)
-    sample = sorted((r["key"], r["n"]) for r in rows.where(uniform < F.col("size") * rate).select("key", "n").collect())
-    splitters = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
-    sums: dict[int, tuple[int, int]] = {}
-    for last in (False, True):
+    ranges = min(max(8 * shards, -(-whole["rows"] // ROWS)), max(8 * shards, RANGES))
+    most = total / ranges  # bytes that a range should hold
+    splitters: list[tuple[int, int]] = []
+    sums, over, turn = {0: (whole["rows"], whole["bytes"] or 0)}, [0], 0
+    placed = ranged(rows, splitters)
+    while over:
+        more = set(drawn(placed, {r: sums[r][1] for r in over}, most, turn)).difference(splitters)
+        if not more:
+            break
+        splitters, turn = sorted({*splitters, *more}), turn + 1
         placed = ranged(rows, splitters)
         sums = {r["range"]: (r["rows"], r["bytes"]) for r in placed.groupBy("range").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()}
-        over = [r for r, (_, b) in sums.items() if b > OVERFULL * total / ranges]
-        if last or not over:
-            break
-        bounds = [(-(1 << 63), 0), *splitters, ((1 << 63) - 1, 1 << 62)]
-        more = [s for r in over for s in [k for k in sample if bounds[r] <= k < bounds[r + 1]][::8]]
-        splitters = sorted({*splitters, *more})
+        over = [r for r, (n, b) in sums.items() if n > 1 and b > OVERFULL * most]
     before, at, start = [], 0, 0
     for r in sorted(sums):
         before.append((r, at, start))
