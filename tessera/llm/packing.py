@@ -157,6 +157,17 @@ class Words:
         return [b"".join(map(near.__getitem__, words)) for words in split]
 
 
+_KEPT: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    """The words of a tokenizer file; a worker keeps them from task to task."""
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = Words(path)
+    return _KEPT[path]
+
+
 def pack(docs: DataFrame, path: str, end_id: int, size: int = 4096, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: the document's id, where the piece starts in it, its ids and its place in a sequence."""
     end = end_id.to_bytes(4, "little")
@@ -170,7 +181,7 @@ def pack(docs: DataFrame, path: str, end_id: int, size: int = 4096, with_ids: bo
             gc.enable()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = Words(path), Packer(size)
+        words, packer = words_of(path), Packer(size)
         base, out = TaskContext.get().partitionId() << 32, 0
         for b in batches:
             found = []
