@@ -18,11 +18,14 @@ ALNUM = bytes(
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where none is set (a local test session) is a temporary one chosen.
+    Only where none is set in a local session, as in tests, is a temporary one chosen.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -49,6 +52,17 @@ def text_bytes(column) -> list[bytes]:
     return [v.encode() if v is not None else b"" for v in column.to_pylist()]
 
 
+#: Tasks that the edges of one node are dealt to.
+SALTS = 16
+
+
+def joined(edges: DataFrame, least: DataFrame, key: str) -> DataFrame:
+    """``edges`` joined with ``least`` on ``key``; a node with many edges is dealt to ``SALTS`` tasks."""
+    own = edges.withColumn("salt", F.pmod(F.xxhash64(*edges.columns), F.lit(SALTS)))
+    every = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return own.join(every, [key, "salt"]).drop("salt")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges (a, b)`` by alternating large and small stars.
 
@@ -66,10 +80,10 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
         low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        large = joined(both, low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u")
+            joined(large, least, "u")
             .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("p"))
             .select("p.u", F.col("p.m").alias("v"))
             .where("u <> v")
@@ -80,3 +94,42 @@ def connected(edges: DataFrame) -> DataFrame:
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
+
+
+def named(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes (node, rep, ...)`` with class, the least node reachable over ``links (a, b)``, and component, the least rep in it."""
+    own = cut(nodes.join(connected(links).withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node")))
+    return joined(own, own.groupBy("class").agg(F.min("rep").alias("component")), "class")
+
+
+def labelled(seen: DataFrame, told: DataFrame, key: str) -> DataFrame:
+    """``seen (id, ...)`` with the class and the component that ``told`` has for its ``key``; rows without an id have none."""
+    none = [F.lit(None).cast("long").alias(c) for c in ("class", "component")]
+    return joined(seen.where("id is not null"), told, key).unionByName(seen.where("id is null").select("*", *none))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def one_of_each(docs: DataFrame, seen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one of each class; rows without an id stay.
+
+    ``seen (id, key, class)`` has a row for each of ``docs``; key is the xxhash64 of its text. The row that stays is one of
+    the class's least id and, of these, least key.
+    """
+    key, own_id, own_key = (fresh(docs, n) for n in ("text_key", "own_id", "own_key"))
+    kinds = cut(seen.where("id is not null").groupBy("class", "id", "key").agg(F.count("*").alias("n")))
+    first = kinds.groupBy("class").agg(F.min(F.struct("id", "key")).alias("first"))
+    known = cut(joined(kinds, first, "class").select(F.col("id").alias(own_id), F.col("key").alias(own_key), "n", (F.struct("id", "key") == F.col("first")).alias("stays")))
+    spare, many = known.where("not stays").select(own_id, own_key), known.where("stays and n > 1").select(own_id, own_key)
+    on = (F.col(id_col).cast("long") == F.col(own_id)) & (F.col(key) == F.col(own_key))
+    left = docs.withColumn(key, F.xxhash64(text_col)).join(spare, on, "left_anti")
+    if not many.limit(1).count():  # no row that stays is repeated
+        return left.drop(key)
+    once = left.join(many, on, "left_semi").dropDuplicates([id_col, key])
+    return left.join(many, on, "left_anti").unionByName(once).drop(key)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected, cut, partitions, table, text_bytes
+from tessera.llm.common import ALNUM, connected, cut, joined, labelled, named, one_of_each, partitions, table, text_bytes
 
 #: Fingerprints of one bucket that one task compares with each other.
 TILE = 4096
@@ -68,15 +68,15 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the signed 64-bit fingerprint of every row's whole text."""
+    """(id, key, fp): the hash and the signed 64-bit fingerprint of every row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t, shingle) for t in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["id", "fp"])
+            fps = [fingerprint(t, shingle) for t in text_bytes(b.column(2))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fps, pa.int64())], ["id", "key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(
-        run, "id long, fp long"
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("t")).mapInArrow(
+        run, "id long, key long, fp long"
     )
 
 
@@ -125,7 +125,7 @@ def blocks_for(rows: int, radius: int) -> int:
 
 
 def links(nodes: DataFrame, rows: int, radius: int) -> DataFrame:
-    """Edges (a, b) whose classes are those of all pairs of ``nodes (fp, rep)`` within ``radius`` bits."""
+    """Edges (a, b) whose classes are those of all pairs of ``nodes (fp)`` within ``radius`` bits."""
     n = blocks_for(rows, radius)
     ends = [64 * i // n for i in range(n + 1)]
     masks = [
@@ -134,7 +134,7 @@ def links(nodes: DataFrame, rows: int, radius: int) -> DataFrame:
     ]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*(F.struct(F.lit(k).alias("way"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)))
-    dealt = nodes.select("fp", "rep", F.inline(keys))
+    dealt = nodes.select("fp", F.inline(keys))
     many = dealt.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -144,14 +144,14 @@ def links(nodes: DataFrame, rows: int, radius: int) -> DataFrame:
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .groupBy("way", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-        .agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps"))
+        .agg(F.collect_list("fp").alias("fps"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.column(0).offsets.to_numpy()
-            fps = b.column(0).values.to_numpy(zero_copy_only=False).view(np.uint64)
-            reps = b.column(1).values.to_numpy(zero_copy_only=False)
+            reps = b.column(0).values.to_numpy(zero_copy_only=False)
+            fps = reps.view(np.uint64)
             ends_a, ends_b = [], []
             for s, e in itertools.pairwise(at):
                 if e - s == 2:
@@ -168,29 +168,32 @@ def links(nodes: DataFrame, rows: int, radius: int) -> DataFrame:
                     [pa.array(np.concatenate(ends_a)), pa.array(np.concatenate(ends_b))], ["a", "b"]
                 )
 
-    return met.select("fps", "reps").mapInArrow(run, "a long, b long")
+    return met.select("fps").mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component) for every row; component is the least id reachable over links."""
+    """(id, key, fp, class, component) for every row; component is the least id reachable over links.
+
+    class tells groups apart whose least ids are the same, as ids may be repeated.
+    """
     fps = cut(fingerprints(docs, shingle, id_col, text_col))
     nodes = cut(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")))
-    root = connected(links(nodes, nodes.count(), radius))
-    named = nodes.join(root, nodes.rep == root.node, "left").select("fp", F.coalesce("root", "rep").alias("least"))
-    return fps.join(named, "fp", "left").select(
-        "id", "fp", F.when(F.col("id").isNotNull(), F.col("least")).alias("component")
-    )
+    told = named(nodes.withColumnRenamed("fp", "node"), links(nodes, nodes.count(), radius)).select(F.col("node").alias("fp"), "class", "component")
+    return labelled(fps, told, "fp").select("id", "key", "fp", "class", "component")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` without all but the least id of each group; rows without an id stay."""
-    spare = groups(docs, shingle, radius).where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group, of the least id, and of these of the least hash of the text; rows without an id stay."""
+    return one_of_each(docs, groups(docs, shingle, radius))
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's set of word shingles; never empty."""
-    words = text.lower().split()
+    """The sorted 64-bit hashes of a text's set of word shingles; never empty.
+
+    Words are lower-cased runs of ASCII letters, digits and other characters than ASCII, so marks make no difference; a text
+    without any is taken by white space.
+    """
+    words = text.translate(ALNUM).split() or text.lower().split()
     h = np.fromiter(map(xxhash.xxh64_intdigest, words, itertools.repeat(42)), np.uint64, len(words))
     n = max(1, len(words) - shingle + 1)
     x = np.full(n if words else 1, len(words) < shingle, np.uint64)
@@ -268,17 +271,17 @@ def verified(sets: list[np.ndarray], fps: np.ndarray, radius: int, similarity: f
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component) for every row: texts linked at the given Jaccard similarity of their shingle sets or more."""
+    """(id, key, class, component) for every row, key being the hash of its text: texts linked at the given Jaccard similarity of their shingle sets or more."""
     share = (1 - similarity) / 2
     radius = int(BITS * share + WIDE * (BITS * share * (1 - share)) ** 0.5)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, shingle) for t in text_bytes(b.column(1))]
+            sets = [shingle_set(t, shingle) for t in text_bytes(b.column(2))]
             found = [least_values(s) for s in sets]
             kin = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             columns = [kin, pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns], ["id", "kin", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *columns], ["id", "key", "kin", "fp", "keys"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -295,61 +298,60 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
         # rows come ordered by cell and parts; a repeated row lies beside its first copy
         place, held = None, {}
         for b in batches:
-            for cell, p, q, rep, kin, fp, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for cell, p, q, node, fp, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if place != (cell, p, q):
                     yield from solved(held)
                     place, held = (cell, p, q), {}
-                if (rep, kin) not in held and xxhash.xxh3_128_digest((own := shingle_set((t or "").encode(), shingle)).tobytes()) == kin:
-                    held[rep, kin] = fp, own
+                if node not in held:
+                    held[node] = fp, shingle_set((t or "").encode(), shingle)
         yield from solved(held)
 
-    def solved(held: dict[tuple, tuple]) -> Iterator[pa.RecordBatch]:
+    def solved(held: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
         if len(held) > 1:
-            reps = np.array([rep for rep, _ in held], np.int64)
+            own = np.array(list(held), np.int64)
             fps = np.frombuffer(b"".join(fp for fp, _ in held.values()), np.uint64).reshape(len(held), -1)
-            label = verified([own for _, own in held.values()], fps, radius, similarity)
+            label = verified([x for _, x in held.values()], fps, radius, similarity)
             x = np.flatnonzero(label != np.arange(len(held)))
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(reps[x]), pa.array(reps[label[x]])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[x]), pa.array(own[label[x]])], ["a", "b"])
 
     def dealt_by(rows: DataFrame, parts: Column) -> DataFrame:
-        own = rows.withColumn("parts", parts.cast("int")).withColumn("own", F.pmod(F.xxhash64("kin"), F.col("parts")).cast("int"))
+        own = rows.withColumn("parts", parts.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         return other.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    seen = cut(rows.mapInArrow(sketch, "id long, kin binary, fp binary, keys array<long>"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("t"))
+    seen = cut(rows.mapInArrow(sketch, "id long, key long, kin binary, fp binary, keys array<long>"))
     # equal sets have equal fingerprints and band keys
-    nodes = cut(seen.where("id is not null").groupBy("kin").agg(F.min(F.struct("id", "fp", "keys")).alias("f")).select("kin", F.col("f.id").alias("rep"), F.col("f.fp").alias("fp"), F.col("f.keys").alias("keys")))
-    dealt = nodes.select("rep", "kin", F.explode("keys").alias("key"))
+    alike = seen.where("id is not null").groupBy("kin").agg(F.min(F.struct("id", "key", "fp", "keys")).alias("f"))
+    nodes = cut(alike.select("kin", F.col("f.id").alias("rep"), F.col("f.key").alias("text"), F.col("f.fp").alias("fp"), F.col("f.keys").alias("keys"), F.monotonically_increasing_id().alias("node")))
+    dealt = nodes.select("node", F.explode("keys").alias("key"))
     many = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = (
-        dealt_by(dealt.join(many, "key").join(nodes.select("rep", "kin", "fp"), ["rep", "kin"]), F.ceil(F.col("n") / F.lit(TILE)))
+        dealt_by(joined(dealt, many, "key").join(nodes.select("node", "fp"), "node"), F.ceil(F.col("n") / F.lit(TILE)))
         .groupBy("key", "p", "q")
-        .agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps"))
+        .agg(F.collect_list("fp").alias("fps"), F.collect_list("node").alias("nodes"))
     )
-    near = connected(met.select("fps", "reps").mapInArrow(compare, "a long, b long"))
+    near = connected(met.select("fps", "nodes").mapInArrow(compare, "a long, b long"))
     cells = cut(near.select("node", F.col("root").alias("cell")).union(near.select("root", "root").distinct()))
-    asked = nodes.join(cells, nodes.rep == cells.node).select("rep", "kin", "fp", "cell")
-    # a text is fetched once, by its id; a row of the same id with another text is told by its set
-    fetched = cut(rows.where("id is not null").join(asked, F.col("id") == F.col("rep")).select("cell", "rep", "kin", "fp", "t"))
+    asked = nodes.join(cells, "node").select("rep", "text", "node", "fp", "cell")
+    # a text is fetched once, by its id and hash
+    fetched = cut(rows.join(asked, (F.col("id") == F.col("rep")) & (F.col("key") == F.col("text"))).select("cell", "node", "fp", "t"))
     sizes = fetched.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / F.lit(TILE), F.sum(F.octet_length("t")) / F.lit(HELD))).alias("parts"))
-    pairs = dealt_by(fetched.join(sizes, "cell"), F.greatest(F.col("parts"), F.lit(1)))
+    pairs = dealt_by(joined(fetched, sizes, "cell"), F.greatest(F.col("parts"), F.lit(1)))
     exact = (
-        pairs.select("cell", "p", "q", "rep", "kin", "fp", "t")
+        pairs.select("cell", "p", "q", "node", "fp", "t")
         .repartition(partitions(docs.sparkSession), "cell", "p", "q")
-        .sortWithinPartitions("cell", "p", "q", "rep", "kin")
+        .sortWithinPartitions("cell", "p", "q", "node")
         .mapInArrow(verify, "a long, b long")
     )
-    root = connected(exact)
-    named = nodes.join(root, nodes.rep == root.node, "left").select("kin", F.coalesce("root", "rep").alias("least"))
-    return seen.select("id", "kin").join(named, "kin", "left").select("id", F.when(F.col("id").isNotNull(), F.col("least")).alias("component"))
+    told = named(nodes.select("node", "rep", "kin"), exact).select("kin", "class", "component")
+    return labelled(seen.select("id", "key", "kin"), told, "kin").select("id", "key", "class", "component")
 
 
 def keep_one_near(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without all but the least id of each group of near copies; rows without an id stay."""
-    spare = near_groups(docs, shingle, similarity).where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies, of the least id, and of these of the least hash of the text; rows without an id stay."""
+    return one_of_each(docs, near_groups(docs, shingle, similarity))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

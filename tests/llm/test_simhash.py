@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from tessera.llm import simhash
+from tessera.llm.common import connected
 
 
 def brute(rows, radius=2):
@@ -90,7 +91,7 @@ def test_near_groups_equal_brute_force(spark):
     assert sorted(r.doc_id for r in simhash.keep_one_near(docs).collect()) == sorted(set(near(rows).values()))
     assert simhash.near_groups(docs.limit(0)).count() == 0
     loose = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (3, "a b c"), (3, "a b c")], "doc_id long, text string")
-    assert sorted(r.doc_id or 0 for r in simhash.keep_one_near(loose).collect()) == [0, 3, 3]
+    assert sorted(r.doc_id or 0 for r in simhash.keep_one_near(loose).collect()) == [0, 3]
 
 
 def test_wide_linked_equals_all_pairs():
@@ -116,3 +117,52 @@ def test_similarity_is_exact_round_the_threshold(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert near(rows[:2]) == {0: 0, 1: 1} and near(rows[100:102]) == {100: 100, 101: 100}
     assert {r.id: r.component for r in simhash.near_groups(docs).collect()} == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = np.random.default_rng(6)
+    text = [" ".join(rng.choice([f"w{k}" for k in range(400)], 90)) for _ in range(3)]
+    rows = [(4, text[0], 1), (4, text[0], 2), (4, text[1], 3), (4, text[1], 4), (9, text[0].upper(), 5), (None, text[0], 6), (None, text[0], 7), (7, text[2], 8), (8, None, 9), (8, "", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int").repartition(4)
+    for keep in (simhash.keep_one, simhash.keep_one_near):
+        left = keep(docs)
+        assert left.columns == docs.columns
+        got = sorted(r.key for r in left.collect())
+        assert [sum(k in own for k in got) for own in ((1, 2, 5), (3, 4), (6, 7), (8,), (9, 10))] == [1, 1, 2, 1, 1] and 5 not in got
+
+
+def test_marks_and_case_make_no_difference_but_marks_alone_do(spark):
+    base = " ".join(f"word{k}" for k in range(40))
+    texts = [base, base.upper().replace(" ", ", "), base.replace(" ", "\n- "), "### *** |", "*** ###", "...", ""]
+    got = {r.id: r.component for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
+def test_buckets_of_more_than_one_part(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 7)
+    test_groups_equal_brute_force(spark)
+    test_near_groups_equal_brute_force(spark)
+
+
+def test_recall_by_similarity(spark):
+    """Pairs at 0.8 and more are found whatever the similarity; none below is."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for k in range(240):
+        share = 0.7 + 0.3 * k / 240
+        n = 60 + k
+        base = [f"p{k}x{j}" for j in range(n + 4)]
+        other = list(base)
+        for j in rng.choice(np.arange(4, n, 9), max(0, round((1 - share) / (1 + share) * n / 5)), replace=False) if share < 1 else []:
+            other[int(j)] += "e"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        want |= near(rows[-2:])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.component for r in simhash.near_groups(docs).collect()} == want
+    assert 40 < sum(i != c for i, c in want.items()) < 240
+
+
+def test_a_hub_and_a_chain(spark):
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1200)] + [(5, 5), (None, 3)]
+    got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(1, 400)} | {k: 1000 for k in range(1001, 1201)}
