@@ -39,7 +39,7 @@ def cosine(a: Column, b: Column) -> Column:
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def logistic(z: Column) -> Column:
@@ -114,6 +114,9 @@ def fuzzy(name: str):
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+        pairs = list(zip(a, b, strict=True))
+        # equal pairs of a batch are scored once
+        known = {p: 1.0 if p[0] and p[0] == p[1] else one(p[0] or "", p[1] or "") for p in set(pairs)}
+        return pd.Series([known[p] for p in pairs], dtype="float64")
 
     return run

@@ -67,10 +67,20 @@ def digit_tokens(raw: Column) -> Column:
     return F.array_distinct(F.filter(raw, lambda t: t.rlike("^[0-9]+[a-z]?$")))
 
 
+def ascii_only(c: Column | str) -> Column:
+    """Transliterated ASCII in lower case, with marks as spaces that do not collapse yet."""
+    x = F.trim(F.lower(F.regexp_replace(without_marks(transliterated(text(c))), r"[^\x00-\x7F]", "")))
+    return F.regexp_replace(x, r"[^\w\s]", " ")
+
+
+def plain(c: Column | str) -> Column:
+    """Transliterated ASCII words in lower case, one space between them."""
+    return F.trim(F.regexp_replace(ascii_only(c), r"\s+", " "))
+
+
 def phrases(c: Column | str) -> Column:
     """Transliterated ASCII in lower case with phrases abbreviated, longest first, before spaces collapse."""
-    x = F.trim(F.lower(F.regexp_replace(without_marks(transliterated(text(c))), r"[^\x00-\x7F]", "")))
-    x = F.regexp_replace(x, r"[^\w\s]", " ")
+    x = ascii_only(c)
     for k in sorted(w.PHRASE_ABBREVIATIONS, key=len, reverse=True):
         x = F.regexp_replace(x, rf"(?i)\b{k}\b", w.PHRASE_ABBREVIATIONS[k])
     return F.trim(F.regexp_replace(x, r"\s+", " "))

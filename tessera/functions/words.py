@@ -14,6 +14,7 @@ LEGAL_TERMS = {
     "industries": "ind", "industry": "ind", "properties": "prop",
     "management": "mgmt", "center": "ctr", "centre": "ctr",
 }
+# Fixed values.
 ADDRESS_ABBREVIATIONS = {
     "street": "st", "str": "st", "saint": "st",
     "road": "rd", "avenue": "ave", "av": "ave",
@@ -29,20 +30,24 @@ ADDRESS_ABBREVIATIONS = {
     "north": "n", "south": "s", "east": "e", "west": "w",
     "northeast": "ne", "northwest": "nw", "southeast": "se", "southwest": "sw",
 }
-STOPWORDS = (
-    "the and a an of in on at by for with to".split() + ["dba", "d.b.a", "d/b/a", "aka", "a.k.a", "c/o", "care of"]
-)
-GENERIC_NAME_TOKENS = """
-    inc corp co ltd pvt llc llp enterprises enterprise services service
-    solutions solution tech technologies technology holdings holding group
-    consulting consultants partners partner ind industries industry
-    mgmt management ctr center centre shop store market hotel restaurant
-    builders builder properties prop property realty realtors construction
-    constructions developers developer agency agencies trading traders trade
-    works logistics transport transports auto automobiles motors motor
-    pharma pharmaceuticals finance financial financials capital ventures venture
-    investments investment international intl commercial commercials global
-""".split()
+# Fixed values.
+STOPWORDS = [
+    "the", "and", "a", "an", "of", "in", "on", "at", "by", "for", "with", "to",
+    "dba", "d.b.a", "d/b/a", "aka", "a.k.a", "c/o", "care of",
+]
+# Fixed values.
+GENERIC_NAME_TOKENS = [
+    "inc", "corp", "co", "ltd", "pvt", "llc", "llp", "enterprises", "enterprise", "services", "service",
+    "solutions", "solution", "tech", "technologies", "technology", "holdings", "holding", "group",
+    "consulting", "consultants", "partners", "partner", "ind", "industries", "industry", "mgmt", "management",
+    "ctr", "center", "centre", "shop", "store", "market", "hotel", "restaurant", "builders", "builder",
+    "properties", "prop", "property", "realty", "realtors", "construction", "constructions", "developers",
+    "developer", "agency", "agencies", "trading", "traders", "trade", "works", "logistics", "transport",
+    "transports", "auto", "automobiles", "motors", "motor", "pharma", "pharmaceuticals", "finance",
+    "financial", "financials", "capital", "ventures", "venture", "investments", "investment", "international",
+    "intl", "commercial", "commercials", "global",
+]
+# Fixed values.
 INDIC_TO_LATIN = {
     "एसएस": "ss", "फूड": "food", "प्राइवेट": "pvt", "लिमिटेड": "ltd",
     "रेड": "red", "वेंचर्स": "ventures", "होटल": "hotel", "एंटरप्राइजेज": "enterprises",
@@ -52,9 +57,11 @@ INDIC_TO_LATIN = {
     "दिल्ली": "delhi", "गाजियाबाद": "ghaziabad", "फरीदाबाद": "faridabad",
     "जयपुर": "jaipur", "बैंगलोर": "bangalore", "कोलकाता": "kolkata",
 }
+# Fixed values.
 PHRASE_ABBREVIATIONS = {
     "private limited": "pvt ltd", "incorporated": "inc", "corporation": "corp", "company": "co",
     "limited": "ltd", "llp": "llp", "street": "st", "road": "rd", "avenue": "ave",
     "boulevard": "blvd", "north": "n", "south": "s", "east": "e", "west": "w",
 }
+# Fixed values.
 LEGAL_SUFFIX = r"(?i)\b(pvt ltd|private limited|inc|incorporated|corp|corporation|llc|ltd|limited|co)\b\.?"

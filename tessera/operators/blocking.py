@@ -54,8 +54,9 @@ WRITE_CAPPED = (
 )
 
 
-def keyed(df: DataFrame, passes: tuple[Pass, ...]) -> DataFrame:
-    each = F.concat(*(_tagged(p, j) for j, p in enumerate(passes)))
+def keyed(df: DataFrame, passes: tuple[Pass, ...], cap: int | None = -1) -> DataFrame:
+    """The keys of all passes, or of those with the given cap."""
+    each = F.concat(*(_tagged(p, j) for j, p in enumerate(passes) if cap == -1 or p.cap == cap))
     return df.select("entity_id", "country", "ordinal", F.inline(each))
 
 
@@ -65,11 +66,13 @@ def _tagged(p: Pass, number: int) -> Column:
 
 def blocked(s1: DataFrame, targets: DataFrame, passes: tuple[Pass, ...]) -> DataFrame:
     """(s1_id, target_id, s1_ordinal, ordinal, score): the summed weights of shared keys."""
-    build = keyed(targets, passes)
-    if any(p.cap for p in passes):
-        cap = F.element_at(F.array(*(F.lit(p.cap or 2**31 - 1) for p in passes)), F.col("pass") + 1)
-        place = F.row_number().over(Window.partitionBy("country", "pass", "key").orderBy("ordinal"))
-        build = build.withColumn("_place", place).where(F.col("_place") <= cap).drop("_place")
+    build = None
+    for cap in sorted({p.cap for p in passes}, key=str):
+        own = keyed(targets, passes, cap)
+        if cap:  # a literal bound, so that rows beyond it go before the exchange
+            place = F.row_number().over(Window.partitionBy("country", "pass", "key").orderBy("ordinal"))
+            own = own.withColumn("_place", place).where(F.col("_place") <= cap).drop("_place")
+        build = own if build is None else build.union(own)
     probe = keyed(s1, passes).select(F.col("entity_id").alias("s1_id"), F.col("ordinal").alias("s1_ordinal"), "country", "pass", "key")
     weight = F.element_at(F.array(*(F.lit(p.weight) for p in passes)), F.col("pass") + 1)
     met = probe.join(build.withColumnRenamed("entity_id", "target_id"), ["country", "pass", "key"])
@@ -89,12 +92,19 @@ def pair_up(pairs: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
     return pairs.join(a, pairs.s1_id == a.a_entity_id).join(b, pairs.target_id == b.b_entity_id)
 
 
-def rescored(pairs: DataFrame) -> DataFrame:
-    """Adds overlap counts of names, core tokens, addresses and digits to the score of paired rows."""
+def rescored(pairs: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
+    """Adds overlap counts of names, core tokens, addresses and digits to the score of ``pairs``; tokens meet as 64-bit hashes."""
+    columns = ("name_tokens", "core_tokens", "addr_tokens", "digits")
+
+    def own(df: DataFrame, side: str) -> DataFrame:
+        hashed = (F.transform(F.array_distinct(c), lambda t: F.xxhash64(t)).alias(f"{side}_{c}") for c in columns)
+        return df.select(F.col("entity_id").alias("s1_id" if side == "a" else "target_id"), *hashed)
+
     def common(c: str) -> Column:
         return F.size(F.array_intersect(f"a_{c}", f"b_{c}"))
 
-    return pairs.withColumn("score", F.col("score") + 2.0 * common("name_tokens") + 3.0 * common("core_tokens") + 1.5 * common("addr_tokens") + 2.5 * common("digits"))
+    met = pairs.join(own(s1, "a"), "s1_id").join(own(targets, "b"), "target_id")
+    return met.select("s1_id", "target_id", "s1_ordinal", "ordinal", (F.col("score") + 2.0 * common("name_tokens") + 3.0 * common("core_tokens") + 1.5 * common("addr_tokens") + 2.5 * common("digits")).alias("score"))
 
 
 def first_word_pairs(s1: DataFrame, targets: DataFrame, similarity, cap: int = 200, skip: float = 0.55, name: float = 0.65, address: float = 0.35) -> DataFrame:

@@ -10,6 +10,11 @@ def f_half(p: Column, r: Column) -> Column:
     return F.when(0.25 * p + r > 0, 1.25 * p * r / (0.25 * p + r)).otherwise(F.lit(0.0))
 
 
+def precision_recall(n_true: Column, n_pred: Column, tp: Column) -> tuple[Column, Column]:
+    both = (n_true == 0) & (n_pred == 0)
+    return F.when(both, 1.0).when(n_pred > 0, tp / n_pred).otherwise(0.0), F.when(both, 1.0).when(n_true > 0, tp / n_true).otherwise(0.0)
+
+
 def entity_scores(s1_ids: DataFrame, truth: DataFrame, predicted: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Precision, recall and F0.5 for each S1 id; right singletons score 1. Predictions outside ``s1_ids`` are ignored."""
     by = by or []
@@ -19,9 +24,7 @@ def entity_scores(s1_ids: DataFrame, truth: DataFrame, predicted: DataFrame, by:
     tp = p.join(truth.distinct(), ["s1_id", "target_id"], "left_semi").groupBy(*by, "s1_id").agg(F.count("*").alias("tp"))
     n = p.groupBy(*by, "s1_id").agg(F.count("*").alias("n_pred"))
     out = base.join(t, "s1_id", "left").join(n, [*by, "s1_id"], "left").join(tp, [*by, "s1_id"], "left").na.fill(0, ["n_true", "n_pred", "tp"])
-    both = (F.col("n_true") == 0) & (F.col("n_pred") == 0)
-    precision = F.when(both, 1.0).when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(0.0)
-    recall = F.when(both, 1.0).when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(0.0)
+    precision, recall = precision_recall(F.col("n_true"), F.col("n_pred"), F.col("tp"))
     return out.withColumns({"precision": precision, "recall": recall}).withColumn("f05", f_half(F.col("precision"), F.col("recall")))
 
 
@@ -31,10 +34,26 @@ def macro(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def sweep(s1_ids: DataFrame, truth: DataFrame, best: DataFrame, grid: DataFrame) -> DataFrame:
-    """Macro scores for each threshold of a small ``grid``. ``best`` is assigned once; the arg-max has no threshold in it."""
-    grid = F.broadcast(grid)
-    predicted = best.crossJoin(grid).where("prob >= threshold")
-    return macro(entity_scores(s1_ids.crossJoin(grid), truth, predicted, ["threshold"]), ["threshold"])
+    """Macro scores for each threshold of a small ``grid``. ``best`` is assigned once; the arg-max has no threshold in it.
+
+    One aggregate counts an S1 record's predictions and hits at all thresholds at once.
+    """
+    levels = sorted(r["threshold"] for r in grid.select("threshold").collect())
+    own = truth.distinct()
+    marked = best.groupBy("s1_id", "target_id").agg(F.max("prob").alias("prob")).join(own.withColumn("hit", F.lit(True)), ["s1_id", "target_id"], "left")
+    at = [F.col("prob") >= F.lit(t) for t in levels]
+    n = marked.groupBy("s1_id").agg(F.array(*map(F.count_if, at)).alias("n_pred"), F.array(*(F.count_if(x & F.col("hit")) for x in at)).alias("tp"))
+    each = s1_ids.join(own.groupBy("s1_id").agg(F.count("*").alias("n_true")), "s1_id", "left").join(n, "s1_id", "left").na.fill(0, ["n_true"])
+    nothing = F.array(*[F.lit(0).cast("long")] * len(levels))
+    each = each.select("n_true", F.coalesce("n_pred", nothing).alias("n_pred"), F.coalesce("tp", nothing).alias("tp"))
+
+    def scored(i: int) -> list[Column]:
+        precision, recall = precision_recall(F.col("n_true"), F.col("n_pred")[i], F.col("tp")[i])
+        mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 9)
+        return [mean(precision).alias("precision"), mean(recall).alias("recall"), mean(f_half(precision, recall)).alias("f05")]
+
+    row = each.agg(*(F.struct(F.lit(t).alias("threshold"), *scored(i)).alias(f"t{i}") for i, t in enumerate(levels)))
+    return row.select(F.inline(F.array(*row.columns)))
 
 
 def best_of(swept: DataFrame, score: str = "f05") -> DataFrame:
@@ -77,6 +96,13 @@ def collisions(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("target_id").agg(F.countDistinct("s1_id").alias("claims")).where("claims > 1")
 
 
+def top_values(df: DataFrame, value: Column, name: str, k: int = 20) -> DataFrame:
+    """The ``k`` most frequent values, equals by value, each with the number of different values."""
+    n = df.groupBy(value.alias(name)).agg(F.count("*").alias("n"))
+    every = n.agg(F.count("*").alias("n_distinct"))  # one row
+    return n.orderBy(F.desc("n"), name).limit(k).crossJoin(F.broadcast(every))
+
+
 def empty_rate(lists: DataFrame, by: Column, name: str) -> DataFrame:
     empty = (F.coalesce("matched_entity_ids", F.lit("")) == "").cast("int")
     return lists.groupBy(by.alias(name)).agg(F.count("*").alias("n"), F.sum(empty).alias("n_empty"), F.round(F.avg(empty), 9).alias("empty_rate"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import logistic, logit
+from tessera.operators.boosting import Trees, boosted
 
 
 def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -18,31 +20,78 @@ def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     return pairs.join(own, ["s1_id", "target_id"], "left").withColumn("label", F.coalesce("_true", F.lit(0))).drop("_true")
 
 
-def negatives(s1: DataFrame, targets: DataFrame, truth: DataFrame, among: int = 15, n: int = 5) -> DataFrame:
-    """The first ``n`` targets that are no match among the first ``among`` of the same country."""
-    first = Window.partitionBy("country").orderBy("ordinal")
+def negatives(s1: DataFrame, targets: DataFrame, truth: DataFrame, among: int = 15, n: int = 5, by: list[str] | None = None) -> DataFrame:
+    """The first ``n`` targets that are no match among the first ``among`` of the same country, or of all if ``by`` is empty."""
+    by = ["country"] if by is None else by
+    if by:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("ordinal"))
+        few = targets.withColumn("place", place).where(F.col("place") <= among)
+    else:
+        few = targets.orderBy("ordinal").limit(among).withColumn("place", F.col("ordinal"))
     # at most ``among`` rows for each country
-    few = targets.withColumn("place", F.row_number().over(first)).where(F.col("place") <= among).select("country", F.col("entity_id").alias("target_id"), "place")
-    met = s1.select(F.col("entity_id").alias("s1_id"), "country").join(few, "country").join(truth, ["s1_id", "target_id"], "left_anti")
+    few = F.broadcast(few.select(*by, F.col("entity_id").alias("target_id"), "place"))
+    own = s1.select(F.col("entity_id").alias("s1_id"), *by)
+    met = (own.join(few, by) if by else own.crossJoin(few)).join(truth, ["s1_id", "target_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("s1_id").orderBy("place"))
     return met.withColumn("rank", rank).where(F.col("rank") <= n).select("s1_id", "target_id")
 
 
-def balanced(pairs: DataFrame) -> DataFrame:
+def training_pairs(s1: DataFrame, targets: DataFrame, truth: DataFrame, **kwargs) -> DataFrame:
+    """(s1_id, target_id, label): the true pairs whose records are there, and negatives for each S1 record."""
+    there = truth.distinct().join(s1.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi").join(targets.select(F.col("entity_id").alias("target_id")), "target_id", "left_semi")
+    yes = there.select("s1_id", "target_id", F.lit(1).alias("label"))
+    return yes.union(negatives(s1, targets, truth, **kwargs).withColumn("label", F.lit(0)))
+
+
+def held_out(pairs: DataFrame, share: float = 0.8, seed: int = 42, buckets: int = 64) -> DataFrame:
+    """Adds ``train``: ``share`` of the pairs of each label, by the hash of their ids. Labels are dealt to buckets, so none is one task."""
+    order = F.xxhash64("s1_id", "target_id", F.lit(seed))
+    group = Window.partitionBy("label", F.pmod(order, F.lit(buckets)))
+    place = F.row_number().over(group.orderBy(order, "s1_id", "target_id"))
+    return pairs.withColumn("train", place <= F.round(F.count("*").over(group) * share))
+
+
+def class_sizes(pairs: DataFrame) -> dict[int, int]:
+    """Label to rows."""
+    return {r["label"]: r["n"] for r in pairs.groupBy("label").agg(F.count("*").alias("n")).collect()}
+
+
+def balanced(pairs: DataFrame, sizes: dict[int, int] | None = None) -> DataFrame:
     """Adds ``weight``, n / (2 n_class)."""
-    counts = pairs.groupBy("label").agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"))
-    return pairs.join(F.broadcast(counts), "label").crossJoin(F.broadcast(total)).withColumn("weight", F.col("_all") / (2.0 * F.col("_n"))).drop("_n", "_all")
+    sizes = class_sizes(pairs) if sizes is None else sizes
+    weight = F.lit(None).cast("double")
+    for label, n in sizes.items():
+        weight = F.when(F.col("label") == label, F.lit(sum(sizes.values()) / (2.0 * n))).otherwise(weight)
+    return pairs.withColumn("weight", weight)
 
 
-def fit(pairs: DataFrame, features: list[str], trees: bool = False, seed: int = 42, rounds: int = 40) -> Model:
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(balanced(pairs)).select("features", F.col("label").cast("double").alias("label"), "weight")
-    if trees:
-        return GBTClassifier(weightCol="weight", maxIter=rounds, stepSize=0.05, maxDepth=5, seed=seed).fit(rows)
-    return LogisticRegression(weightCol="weight", regParam=1.0 / max(1, rows.count()), elasticNetParam=0.0, standardization=False, maxIter=500).fit(rows)
+#: Pairs that trees are fitted on, about; a share of them by hash where there are more.
+SAMPLE = 200_000
 
 
-def predict(model: Model, pairs: DataFrame, features: list[str]) -> DataFrame:
+def fit(pairs: DataFrame, features: list[str], trees: bool = False, rounds: int = 300) -> Model | Trees | None:
+    """A classifier of balanced classes, or None without pairs of both."""
+    sizes = class_sizes(pairs)
+    if len(sizes) < 2:
+        return None
+    if trees:
+        share = min(1.0, SAMPLE / sum(sizes.values()))
+        few = pairs if share == 1 else pairs.where(F.pmod(F.xxhash64("s1_id", "target_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        # about SAMPLE rows
+        rows = few.select("s1_id", "target_id", "label", *features).toPandas().sort_values(["s1_id", "target_id"])
+        y = rows["label"].to_numpy(float)
+        weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
+        return boosted(rows[features].to_numpy(float), y, weight, features, rounds)
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(balanced(pairs, sizes)).select("features", F.col("label").cast("double").alias("label"), "weight")
+    return LogisticRegression(weightCol="weight", regParam=1.0 / sum(sizes.values()), elasticNetParam=0.0, standardization=False, maxIter=500).fit(rows)
+
+
+def predict(model: Model | Trees | None, pairs: DataFrame, features: list[str]) -> DataFrame:
+    """``pairs`` with ``prob``; without a model that is the mean of the features."""
+    if model is None:
+        return pairs.withColumn("prob", sum(F.col(c) for c in features) / float(len(features)))
+    if isinstance(model, Trees):
+        return model.predict(pairs)
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(pairs)
     return model.transform(rows).withColumn("prob", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 

@@ -40,6 +40,27 @@ def decided(pairs: DataFrame, decisions: DataFrame, threshold: float) -> DataFra
     )
 
 
+def review_records(s1: DataFrame, decided: DataFrame, name: str = "") -> DataFrame:
+    """One record for each of ``s1`` with matched_ids, status and candidates (target_id, confidence, is_match), the most probable first."""
+    best = F.array_sort(F.collect_list(F.struct((-F.col("prob")).alias("down"), "rank", "target_id", "is_match")))
+    own = decided.groupBy("s1_id").agg(best.alias("c"))
+    candidates = F.coalesce(F.transform("c", lambda x: F.struct(x["target_id"].alias("target_id"), (-x["down"]).alias("confidence"), x["is_match"].alias("is_match"))), F.array().cast("array<struct<target_id:string,confidence:double,is_match:boolean>>"))
+    both = s1.join(own, F.col("entity_id") == F.col("s1_id"), "left").withColumn("candidates", candidates)
+    matched = F.transform(F.filter("candidates", lambda x: x["is_match"]), lambda x: x["target_id"])
+    return both.select(
+        F.col("entity_id").alias("s1_id"), "business_name", "business_address", "country", F.array_join(matched, ",").alias("matched_ids"),
+        F.when(F.size(matched) > 0, "matched").otherwise("singleton").alias("status"), "candidates",
+    )
+
+
+def overview(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: records, candidate pairs, confirmed matches, singletons and the mean probability."""
+    links = F.size(F.filter("candidates", lambda x: x["is_match"]))
+    a = records.agg(F.count("*").alias("s1_processed"), F.coalesce(F.sum(links), F.lit(0)).alias("confirmed_matches"), F.count_if(links == 0).alias("singletons"))
+    b = pairs.agg(F.count("*").alias("candidate_pairs"), F.coalesce(F.avg("prob"), F.lit(0.0)).alias("mean_prob"))
+    return a.crossJoin(b)  # one row each
+
+
 def first_borderline(pairs: DataFrame, threshold: float, low: float = 0.4) -> DataFrame:
     """The first candidate of each S1 record that lies between ``low`` and the threshold."""
     w = F.row_number().over(Window.partitionBy("s1_id").orderBy("rank"))

@@ -14,6 +14,10 @@ def _case(table: dict[str, str]) -> str:
     return "case t " + " ".join(f"when '{k}' then '{v}'" for k, v in table.items()) + " else case when t in (" + ", ".join(f"'{s}'" for s in w.STOPWORDS) + ") then '' else t end end"
 
 
+def transliterated(c: str) -> str:
+    return reduce(lambda s, p: f"replace({s}, '{p[0]}', '{p[1]}')", w.INDIC_TO_LATIN.items(), f"coalesce({c}, '')")
+
+
 def clean(c: str) -> str:
     x = reduce(lambda s, p: f"replace({s}, '{p[0]}', '{p[1]}')", w.INDIC_TO_LATIN.items(), f"lower(coalesce({c}, ''))")
     return f"trim(regexp_replace(regexp_replace(strip_accents({x}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -56,6 +60,24 @@ def blocked(passes: list, name: str = "blocked") -> str:
       from {name}_keys a join {name}_b b using (country, pass, key) where a.entity_id like 'S1-%' group by 1, 2)"""
 
 
+def phrases(c: str) -> str:
+    x = f"regexp_replace(trim(lower(regexp_replace(strip_accents({transliterated(c)}), '[^\\x00-\\x7F]', '', 'g'))), '[^\\w\\s]', ' ', 'g')"
+    for k in sorted(w.PHRASE_ABBREVIATIONS, key=len, reverse=True):
+        x = f"regexp_replace({x}, '\\b{k}\\b', '{w.PHRASE_ABBREVIATIONS[k]}', 'gi')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+#: The hardened records, and their keys: pass, weight, cap, list of keys.
+H = f"""{E},
+h0 as materialized (select entity_id, ordinal, upper(trim(coalesce(country, 'US'))) country, {phrases('business_name')} norm_name, {phrases('business_address')} norm_addr from e),
+m as materialized (select *, trim(regexp_replace(norm_name, '{w.LEGAL_SUFFIX.removeprefix("(?i)")}', '', 'gi')) clean_name from h0)"""
+_BARE = "replace(clean_name, ' ', '')"
+WRITE = [("TOK", 3.0, 200, "list_filter(string_split(clean_name, ' '), lambda t: length(t) >= 3)"),
+         ("PRE", 2.0, 200, "case when length(clean_name) >= 4 then [substr(clean_name, 1, 4)] else [] end"),
+         ("GRAM", 0.5, 200, f"case when length({_BARE}) >= 3 then list_distinct(list_transform(range(1, length({_BARE}) - 1), lambda i: substr({_BARE}, i, 3))) when length({_BARE}) > 0 then [{_BARE}] else [] end"),
+         ("RUN", 1.5, 200, "regexp_extract_all(norm_addr, '[0-9]{2,}')")]
+
+
 def inter(a: str, b: str) -> str:
     return f"len(list_intersect(list_distinct({a}), list_distinct({b})))"
 

@@ -19,7 +19,9 @@ from tessera.operators import validate as Q
 from tessera.plans import fixture as FX
 from tessera.plans import oracle as O
 from tessera.plans import pipeline as PL
+from tessera.plans import session as SE
 from tessera.sources import records as IO
+from tessera.sources.stage import numbered, scratch, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,8 +49,8 @@ def meta(spark, sf):
 def paired(spark, sf, k: int = 20):
     """The best candidates of the three passes with both sides' attributes."""
     s1, targets, truth = meta(spark, sf)
-    met = B.pair_up(B.blocked(s1, targets, B.THREE_PASSES), s1, targets)
-    return B.top(B.rescored(met), k), s1, truth
+    best = B.top(B.rescored(B.blocked(s1, targets, B.THREE_PASSES), s1, targets), k)
+    return B.pair_up(best, s1, targets), s1, truth
 
 
 def probable(spark, sf):
@@ -95,12 +97,68 @@ def countries_first_seen(spark, sf):
     return IO.countries(FX.entities(spark, sf))
 
 
-@query("select 'EN' country")
+@query(f"with {O.E} select distinct country from e where lower(country) = 'en' or upper(country) like 'EN%' union select 'en' where not exists (select 1 from e where lower(country) = 'en' or upper(country) like 'EN%')")
 def country_argument(spark, sf):
     return IO.resolve_country(FX.entities(spark, sf), "en")
 
 
+@query(f"with {O.E} select entity_id, business_name from e where upper(trim(country)) = 'DE'")
+def scan_country(spark, sf):
+    return IO.select_rows(FX.entities(spark, sf), country="DE").select("entity_id", "business_name")
+
+
+@query(f"with {O.E} select entity_id, business_name, coalesce(business_address, '') business_address, coalesce(country, '') country from e where entity_id not like '%3'")
+def scan_tsv(spark, sf):
+    """A written file read back: lines with another number of fields are dropped."""
+    line = F.concat_ws("\t", "entity_id", "business_name", F.coalesce("business_address", F.lit("")), F.coalesce("country", F.lit("")))
+    e = FX.entities(spark, sf).select(F.when(F.endswith("entity_id", F.lit("3")), F.concat(line, F.lit("\tmore"))).otherwise(line).alias("line"))
+    folder = scratch(spark)
+    spark.createDataFrame([("\t".join(IO.RECORD.names),)], "line string").union(e).write.text(folder)
+    return IO.read_tsv(spark, folder)
+
+
+@query(f"with {O.E} select (select count(*) from e) n_rows, count(distinct entity_id) n_ids from e")
+def scan_ids(spark, sf):
+    folder = scratch(spark)
+    FX.entities(spark, sf).select(F.concat_ws("\t", "entity_id", "business_name").alias("line")).union(spark.createDataFrame([("entity_id\tbusiness_name",)], "line string")).write.text(folder)
+    return IO.count_rows(spark, folder).crossJoin(IO.read_ids(spark, folder).agg(F.count("*").alias("n_ids")))  # one row each
+
+
+@query(f"with {O.M} select distinct entity_id from (select target_id entity_id from truth where s1_id like '%7' union all select s1_id from truth where s1_id like '%7')")
+def needed_union(spark, sf):
+    t = FX.truth(FX.entities(spark, sf)).where(F.endswith("s1_id", F.lit("7")))
+    return IO.needed_ids(t.select("target_id"), t.select("s1_id"))
+
+
+@query(f"with {O.E} select country, count(*) n from (select * from e order by ordinal limit 1000) group by 1")
+def country_counts_of_first(spark, sf):
+    return IO.select_rows(FX.entities(spark, sf), first=1000).groupBy("country").agg(F.count("*").alias("n"))
+
+
+@query(f"with {O.E} select entity_id, business_name, country from e order by ordinal limit 20")
+def preview_rows(spark, sf):
+    return SE.preview(FX.entities(spark, sf)).select("entity_id", "business_name", "country")
+
+
+@query(f"with {O.E} select entity_id, business_name from e where contains(lower(entity_id), 'ltd') or contains(lower(business_name), 'ltd') order by business_name desc, entity_id limit 50")
+def preview_search(spark, sf):
+    e = FX.entities(spark, sf).select("entity_id", "business_name")
+    return SE.searched(e, "LTD").orderBy(F.desc("business_name"), "entity_id").limit(50)
+
+
+@query(f"with {O.E}, s as (select * from e where entity_id like 'S1-%') select country, count(*) filter (ordinal <= cut) n_fit, count(*) filter (ordinal > cut) n_rest from s, (select quantile_disc(ordinal, 0.7) cut from s) group by 1")
+def train_split(spark, sf):
+    s1 = FX.split(FX.entities(spark, sf))[0]
+    last = s1.agg(F.percentile_approx("ordinal", F.lit(0.7), F.lit(1_000_000))).first()[0]
+    return s1.groupBy("country").agg(F.count_if(F.col("ordinal") <= last).alias("n_fit"), F.count_if(F.col("ordinal") > last).alias("n_rest"))
+
+
 # text
+@query(f"with {O.E} select entity_id, trim(regexp_replace(regexp_replace(trim(lower(regexp_replace(strip_accents({O.transliterated('business_name')}), '[^\\x00-\\x7F]', '', 'g'))), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')) name from e")
+def plain_text(spark, sf):
+    return ones(FX.entities(spark, sf), X.plain("business_name").alias("name"))
+
+
 @query(f"with {O.E} select entity_id, {O.clean('business_name')} clean_name from e")
 def clean_text(spark, sf):
     return ones(FX.entities(spark, sf), X.clean("business_name").alias("clean_name"))
@@ -116,7 +174,7 @@ def norm_addr(spark, sf):
     return ones(X.meta(FX.entities(spark, sf)), "norm_addr", F.array_join(F.array_sort("digits"), "|").alias("digit_list"))
 
 
-@query()
+@query(f"with {O.E} select entity_id, {O.phrases('business_name')} name, {O.phrases('business_address')} addr from e")
 def norm_phrases(spark, sf):
     return ones(FX.entities(spark, sf), X.phrases("business_name").alias("name"), X.phrases("business_address").alias("addr"))
 
@@ -193,6 +251,13 @@ def _fuzzy(name: str, kind: str) -> None:
 for _name, _kind in (("fuzz_ratio", "ratio"), ("token_sort", "token_sort"), ("token_set", "token_set"), ("partial_ratio", "partial"), ("wratio", "weighted")):
     _fuzzy(_name, _kind)
 
+@query("with v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) e from embeddings) select a.vec_id a_id, b.vec_id b_id, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 6) cosine from v a join v b using (label) where a.vec_id < b.vec_id and a.vec_id % 3 = 0 and b.vec_id % 3 = 1")
+def cosine_pairs(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    a, b = (v.where(F.col("vec_id") % 3 == k).select(F.col("vec_id").alias(f"{n}_id"), "label", F.col("embedding").alias(n)) for n, k in (("a", 0), ("b", 1)))
+    return a.join(b, "label").where("a_id < b_id").select("a_id", "b_id", F.round(S.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+
+
 KNN = "v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) e from embeddings), c as (select a.vec_id query_id, b.vec_id target_id, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) cosine from v a join v b using (label) where a.vec_id % 5 = 0 and b.vec_id % 5 <> 0)"
 
 
@@ -222,13 +287,13 @@ def block_4index_capped(spark, sf):
 def hardened(spark, sf):
     e = FX.entities(spark, sf)
     n = e.select("entity_id", "ordinal", X.country("country").alias("country"), X.phrases("business_name").alias("norm_name"), X.phrases("business_address").alias("norm_addr"))
-    return FX.split(n.withColumn("clean_name", X.without_suffix(F.col("norm_name"))))
+    return FX.split(staged(n.withColumn("clean_name", X.without_suffix(F.col("norm_name")))))
 
 
-@query()
+@query(f"with {O.H}, {O.blocked(O.WRITE)} select s1_id, target_id, score, rank from (select *, row_number() over (partition by s1_id order by score desc, ordinal) rank from blocked) where rank <= 20")
 def block_write_capped(spark, sf):
     s1, t = hardened(spark, sf)
-    return B.top(B.blocked(s1, t, B.WRITE_CAPPED)).select("s1_id", "target_id", "score", "rank")
+    return B.top(B.blocked(s1, t, B.WRITE_CAPPED)).select("s1_id", "target_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
@@ -276,12 +341,16 @@ def features7(spark, sf):
     return FT.seven(pairs).select("s1_id", "target_id", *FT.SEVEN)
 
 
+def embedded(spark, sf):
+    """Records with their vectors, S1 and targets."""
+    return FX.split(staged(IO.with_vectors(FX.entities(spark, sf), FX.vectors(spark, sf))))
+
+
 @query()
 def features6(spark, sf):
-    s1, t = FX.split(FX.entities(spark, sf))
-    keep = lambda d: d.select("entity_id", F.trim(F.lower(X.text("business_name"))).alias("name"), F.trim(F.lower(X.text("business_address"))).alias("addr"))
-    pairs = B.pair_up(B.first_word_pairs(s1, t, S.fuzzy("token_sort")), keep(s1), keep(t))
-    return FT.six(pairs, F.col("score")).select("s1_id", "target_id", *FT.SIX)
+    s1, t = (PL.normalised(d, PL.PRESETS["embedding"]) for d in embedded(spark, sf))
+    pairs = PL.candidates(s1, t, PL.PRESETS["embedding"])
+    return FT.six(pairs, F.col("score")).select("s1_id", "target_id", *(F.round(c, 6).alias(c) for c in FT.SIX))
 
 
 @query(f"with {O.TOP} select s1_id, target_id, case when (s1_id, target_id) in (select (s1_id, target_id) from truth) then 1 else 0 end as label from top")
@@ -295,6 +364,18 @@ def negative_sample(spark, sf):
     return ML.negatives(*meta(spark, sf))
 
 
+@query(f"with {O.M}, few as (select entity_id target_id, ordinal from m where entity_id not like 'S1-%' order by ordinal limit 50), x as (select a.entity_id s1_id, f.target_id, row_number() over (partition by a.entity_id order by f.ordinal) n from m a, few f where a.entity_id like 'S1-%' and (a.entity_id, f.target_id) not in (select (s1_id, target_id) from truth)) select s1_id, target_id, 0 as label from x where n <= 3 union all select s1_id, target_id, 1 from truth")
+def training_pairs(spark, sf):
+    return ML.training_pairs(*meta(spark, sf), among=50, n=3, by=[])
+
+
+@query(f"with {O.M}, few as (select * from (select *, row_number() over (partition by country order by ordinal) place from m where entity_id not like 'S1-%') where place <= 15), x as (select a.entity_id s1_id, f.entity_id target_id, row_number() over (partition by a.entity_id order by place) n from m a join few f using (country) where a.entity_id like 'S1-%' and (a.entity_id, f.entity_id) not in (select (s1_id, target_id) from truth)), p as (select 1 y from truth union all select 0 from x where n <= 5) select y label, count(*) n, true near_share from p group by 1")
+def held_out_split(spark, sf):
+    """Rows of each label, and whether four in five of them are fitted on, but for half a row a bucket."""
+    p = ML.held_out(ML.training_pairs(*meta(spark, sf)))
+    return p.groupBy("label").agg(F.count("*").alias("n"), (F.abs(F.count_if("train") - 0.8 * F.count("*")) <= 32).alias("near_share"))
+
+
 @query(f"with {O.PROB} select s1_id, target_id, prob from prob")
 def lr_score_fixed_weights(spark, sf):
     return probable(spark, sf)[0].select("s1_id", "target_id", "prob")
@@ -308,7 +389,7 @@ def tiered_score(spark, sf):
 
 def fitted(spark, sf, trees: bool):
     pairs, _, truth = paired(spark, sf)
-    x = ML.labelled(FT.sixteen(pairs), truth).select("s1_id", "target_id", "label", *FT.SIXTEEN).persist()
+    x = staged(ML.labelled(FT.sixteen(pairs), truth).select("s1_id", "target_id", "label", *FT.SIXTEEN))
     return ML.predict(ML.fit(x, FT.SIXTEEN, trees), x, FT.SIXTEEN).select("s1_id", "target_id", "label", F.round("prob", 4).alias("prob"))
 
 
@@ -423,13 +504,13 @@ def empty_rate_by_country(spark, sf):
 
 @query(f"{_LIST}, k as (select *, (row_number() over (order by ordinal) - 1) // 50 chunk from res) select chunk, count(*) n, sum((matched_entity_ids = '')::int)::bigint n_empty, round(avg((matched_entity_ids = '')::int), 9) empty_rate from k group by 1")
 def empty_rate_by_chunk(spark, sf):
-    return V.empty_rate(IO.numbered(results(spark, sf)), F.floor(F.col("row") / 50), "chunk")
+    return V.empty_rate(numbered(results(spark, sf)), F.floor(F.col("row") / 50), "chunk")
 
 
-@query(f"with {O.M}, x as (select string_split(norm_name, ' ')[1] word, count(*) n from m where norm_name <> '' group by 1) select * from x order by n desc, word limit 20")
+@query(f"with {O.M}, x as (select string_split(norm_name, ' ')[1] word, count(*) n from m where norm_name <> '' group by 1) select *, (select count(*) from x) n_distinct from x order by n desc, word limit 20")
 def top_first_words(spark, sf):
     m = X.meta(FX.entities(spark, sf)).where("norm_name <> ''")
-    return m.groupBy(F.element_at(F.split("norm_name", " "), 1).alias("word")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(20)
+    return V.top_values(m, F.element_at(F.split("norm_name", " "), 1), "word")
 
 
 BROKEN = "case when s1_id like '%3' then target_id || ',' || target_id when s1_id like '%5' then 'S1-1,X9' else target_id end"
@@ -449,9 +530,50 @@ def subset_violations(spark, sf):
     return Q.subset_violations(IO.as_lists(s1, p.where("prob >= 0.3")), few)
 
 
-@query(f"{_LIST} select count(*) n_rows, count(distinct source1_entity_id) n_ids, 0::bigint n_null, 0::bigint n_missing, 0::bigint n_extra from res")
+_GAPS = "bad as (select source1_entity_id, case when source1_entity_id like '%5' then null else matched_entity_ids end matched_entity_ids from res where source1_entity_id not like '%3' union all select source1_entity_id || 'x', matched_entity_ids from res where source1_entity_id like '%7' union all select source1_entity_id, '' from res where source1_entity_id like '%11')"
+
+
+@query(f"{_LIST}, {_GAPS} select count(*) n_rows, count(distinct source1_entity_id) n_ids, count(*) filter (matched_entity_ids is null) n_null, (select count(*) from s1 where s1_id not in (select source1_entity_id from bad)) n_missing, count(*) filter (source1_entity_id not in (select s1_id from s1)) n_extra from bad")
 def coverage_report(spark, sf):
-    return Q.coverage(results(spark, sf), FX.split(FX.entities(spark, sf))[0].select("entity_id"))
+    r = staged(results(spark, sf).select("source1_entity_id", "matched_entity_ids"))
+    r.createOrReplaceTempView("res")
+    bad = spark.sql(f"with {_GAPS} select * from bad")
+    return Q.coverage(bad, r.select(F.col("source1_entity_id").alias("entity_id")))
+
+
+@query(f"{_LIST}, {_GAPS} select (select count(*) from s1 where s1_id not in (select source1_entity_id from bad)) missing, (select count(distinct source1_entity_id) from bad where source1_entity_id not in (select s1_id from s1)) unexpected, (select count(*) from (select 1 from bad group by source1_entity_id having count(*) > 1)) repeated")
+def completeness(spark, sf):
+    r = staged(results(spark, sf).select("source1_entity_id", "matched_entity_ids"))
+    r.createOrReplaceTempView("res")
+    return IO.completeness(spark.sql(f"with {_GAPS} select * from bad"), r.select(F.col("source1_entity_id").alias("entity_id")))
+
+
+_RATE = "count(*) n, sum((matched_entity_ids = '')::int)::bigint n_empty, round(avg((matched_entity_ids = '')::int), 9) empty_rate, case when empty_rate > 0.5 then 'fail' when empty_rate > 0.15 then 'warn' else 'ok' end \"class\""
+
+
+@query(f"{_LIST}, k as (select *, (row_number() over (order by ordinal) - 1) // 50 chunk from res) select 'all' part, 'all' as name, {_RATE} from k union all select 'country', country, {_RATE} from k group by country union all select 'chunk', chunk::varchar, {_RATE} from k group by chunk")
+def coverage_diagnosis(spark, sf):
+    return Q.coverage_diagnosis(results(spark, sf), FX.entities(spark, sf), 50)
+
+
+@query(f"{_LIST} select source1_entity_id, matched_entity_ids from res")
+def resumed_by_country(spark, sf):
+    """The result built country by country, with one country done before."""
+    r = staged(results(spark, sf))
+    folder = scratch(spark)
+    run = lambda country: r.where(F.col("country") == country).select("source1_entity_id", "matched_entity_ids", "ordinal")
+    first = r.agg(F.min("country")).first()[0]
+    IO.write_by_country(run(first).withColumn("country", F.lit(first)), folder)
+    s1 = r.select(F.col("source1_entity_id").alias("entity_id"), "ordinal", "country")
+    return IO.resume_by_country(s1, run, folder).drop("ordinal")
+
+
+@query(f"with {O.PROB}, few as (select s1_id source1_entity_id, string_agg(target_id, ',' order by target_id) matched_entity_ids from prob where prob >= 0.3 group by 1), x as (select rule, offender, row_number() over (partition by rule order by offender) n from (select 'claimed_twice' as rule, target_id offender from prob where prob >= 0.3 group by 2 having count(*) > 1 union all select 'missing_s1', s1_id from s1 where s1_id not in (select source1_entity_id from few) union all select 'no_candidate', s1_id from prob where rank > 3 and prob >= 0.3 group by 2)), y as (select rule, count(*) n, string_agg(offender, ',' order by offender) filter (n <= 5) examples from x group by 1) select case when rule = 'no_candidate' then 'warning' else 'error' end \"level\", * from y union all select 'info', 'empty_rate', 0::bigint, '0.0'")
+def result_report(spark, sf):
+    p, s1, _ = probable(spark, sf)
+    p = staged(p)
+    rows = IO.as_lists(s1, p.where("prob >= 0.3")).where("matched_entity_ids <> ''").drop("ordinal")
+    return Q.result_report(rows, s1, None, IO.as_lists(s1, p.where("rank <= 3"), [F.col("rank")], "candidate_entity_ids"))
 
 
 # review
@@ -480,6 +602,35 @@ def decision_overlay(spark, sf):
     return R.decided(p, yes.union(no), T).select("s1_id", "target_id", "is_match")
 
 
+_DECIDED = f"{O.PROB}, d as (select *, case when rank = 1 and s1_id like '%3' then true when rank = 2 then false else prob >= {T} end is_match from prob)"
+
+
+def decided_records(spark, sf):
+    p, s1, _ = probable(spark, sf)
+    p = staged(p)
+    yes = p.where("rank = 1 and s1_id like '%3'").select("s1_id", "target_id", F.lit("accept").alias("action"), F.lit(2).alias("seq"))
+    no = p.where("rank = 2").select("s1_id", "target_id", F.lit("reject").alias("action"), F.lit(1).alias("seq"))
+    e = FX.split(FX.entities(spark, sf))[0]
+    return R.review_records(e, R.decided(p, yes.union(no), T)), p
+
+
+@query(f"with {_DECIDED} select e.entity_id s1_id, coalesce(string_agg(target_id, ',' order by prob desc, rank) filter (is_match), '') matched_ids, case when count(*) filter (is_match) > 0 then 'matched' else 'singleton' end status, count(target_id) n_candidates from e left join d on s1_id = entity_id where entity_id like 'S1-%' group by 1")
+def review_records(spark, sf):
+    return decided_records(spark, sf)[0].select("s1_id", "matched_ids", "status", F.size("candidates").cast("long").alias("n_candidates"))
+
+
+@query(f"with {_DECIDED} select (select count(*) from s1) s1_processed, count(*) filter (is_match) confirmed_matches, (select count(*) from s1) - count(distinct s1_id) filter (is_match) singletons, count(*) candidate_pairs, round(avg(prob), 6) mean_prob from d")
+def run_counters(spark, sf):
+    return R.overview(*decided_records(spark, sf)).withColumn("mean_prob", F.round("mean_prob", 6))
+
+
+@query(f"with {_DECIDED} select s1_id, to_json(struct_pack(s1_id := s1_id, n := count(*), matched := count(*) filter (is_match))) payload from d group by s1_id")
+def json_payload(spark, sf):
+    c = decided_records(spark, sf)[0].where(F.size("candidates") > 0)
+    n = c.select("s1_id", F.size("candidates").cast("long").alias("n"), F.size(F.filter("candidates", lambda x: x["is_match"])).cast("long").alias("matched"))
+    return n.select("s1_id", F.to_json(F.struct("s1_id", "n", "matched")).alias("payload"))
+
+
 @query(f"with {O.PROB} select distinct s1_id from prob where prob >= 0.4 and prob < 0.75 and contains(lower(s1_id), '-1')")
 def review_filter(spark, sf):
     p, _, _ = probable(spark, sf)
@@ -503,5 +654,20 @@ def _preset(name: str) -> None:
     QUERIES[f"link_{name}"] = run
 
 
-for _name in ("modular", "fast", "hardened", "embedding"):
+for _name in ("modular", "full", "fast", "hardened"):
     _preset(_name)
+
+
+@query()
+def link_embedding(spark, sf):
+    s1, targets = embedded(spark, sf)
+    preset = PL.PRESETS["embedding"]
+    model, threshold = PL.train(s1, targets, FX.truth(s1.unionByName(targets)), preset)
+    return PL.link(s1, targets, model, threshold, preset)[1].drop("ordinal")
+
+
+@query()
+def link_first_word(spark, sf):
+    """The embedding preset without vectors."""
+    s1, targets = FX.split(FX.entities(spark, sf))
+    return PL.link(s1, targets, *PL.train(s1, targets, FX.truth(targets), PL.PRESETS["embedding"]), PL.PRESETS["embedding"])[1].drop("ordinal")

@@ -5,7 +5,11 @@ Rows carry an explicit ``ordinal`` where order matters, since distributed rows h
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import zipfile
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +19,46 @@ RESULT, CANDIDATES = TRUTH, T.StructType([T.StructField(c, T.StringType()) for c
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
-    """A typed scan: all strings, nulls as empty, quotes as they are."""
-    raw = spark.read.schema(schema).option("sep", "\t").option("quote", "").option("header", True).csv(path)
-    return raw.na.fill("")
+    """A typed scan: all strings, nulls as empty, quotes as they are. Lines with another number of fields go."""
+    part, names = F.split("value", "\t"), schema.names
+    lines = spark.read.text(path).withColumn("f", part)
+    header = F.array(*(F.lit(n) for n in names))
+    fields = lines.where((F.size("f") == len(names)) & (F.transform("f", lambda x: F.lower(F.trim(x))) != header))
+    return fields.select(*(F.element_at("f", i + 1).alias(n) for i, n in enumerate(names)))
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The set of first columns of a file's rows, without the header."""
+    first = F.element_at(F.split("value", "\t"), 1)
+    own = spark.read.text(path).select(F.trim(first).alias("entity_id")).where("entity_id <> ''")
+    return own.where(~F.lower("entity_id").isin(RECORD.names[0], TRUTH.names[0])).distinct()
+
+
+def count_rows(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the lines of a file without its header, never below 0."""
+    return spark.read.text(path).agg(F.greatest(F.count("*") - 1, F.lit(0)).alias("n_rows"))
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table of vectors ``(entity_id, vector)`` written by ``write_vectors``, or None where there is none."""
+    try:
+        return spark.read.parquet(path).select("entity_id", "vector")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """Keeps ``vectors (entity_id, vector)`` for later runs, each of unit length."""
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = F.when(norm > 0, F.transform("vector", lambda x: (x / norm).cast("float"))).otherwise(F.col("vector").cast("array<float>"))
+    vectors.select("entity_id", unit.alias("vector")).write.mode("overwrite").parquet(path)
+
+
+def with_vectors(df: DataFrame, vectors: DataFrame | None) -> DataFrame:
+    """``df`` with a ``vector`` if there is a table of them; without one a plan falls back to first words."""
+    return df if vectors is None else df.join(vectors, "entity_id", "left")
 
 
 def read_positional(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
@@ -53,6 +94,11 @@ def _nth(df: DataFrame, n: int) -> int:
     return -1 if low is None else low
 
 
+def needed_ids(*ids: DataFrame) -> DataFrame:
+    """The union of id sets, each once."""
+    return union_sources(*(d.select(F.col(d.columns[0]).alias("entity_id")) for d in ids)).distinct()
+
+
 def union_sources(*sources: DataFrame) -> DataFrame:
     out = sources[0]
     for s in sources[1:]:
@@ -110,10 +156,56 @@ def write_by_country(lists: DataFrame, path: str) -> None:
     lists.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("country").parquet(path)
 
 
+def done_countries(spark: SparkSession, path: str) -> list[str]:
+    """Countries that ``write_by_country`` has written."""
+    try:
+        return sorted(r["country"] for r in spark.read.schema("country string").parquet(path).select("country").distinct().collect())
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def resume_by_country(s1: DataFrame, run: Callable[[str], DataFrame], path: str) -> DataFrame:
+    """Lists of all of ``s1 (entity_id, ordinal, country)``: countries that are not done are run and written one by one, the others read.
+
+    Every S1 record has one row in the end, empty where a run gave none, in the order of S1; anything else is an error.
+    """
+    spark = s1.sparkSession
+    done = set(done_countries(spark, path))
+    # one row for each country
+    for country in sorted(r["country"] for r in s1.select("country").distinct().collect()):
+        if country not in done:
+            write_by_country(run(country).withColumn("country", F.lit(country)), path)
+    parts = spark.read.parquet(path).drop("country", "ordinal")
+    a, b = parts.columns
+    whole = s1.select("entity_id", "ordinal").join(parts, F.col("entity_id") == F.col(a), "left")
+    out = whole.select(F.col("entity_id").alias(a), F.coalesce(b, F.lit("")).alias(b), "ordinal")
+    assert_complete(out, s1)
+    return out
+
+
+def completeness(lists: DataFrame, s1: DataFrame) -> DataFrame:
+    """One row: S1 records without a row in lists, ids that are no S1 record, and those with several rows."""
+    own, name = s1.select(F.col("entity_id").alias("id"), F.lit(1).alias("x"), F.lit(0).alias("y")), lists.columns[0]
+    both = own.union(lists.select(F.col(name), F.lit(0), F.lit(1))).groupBy("id").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    return both.agg(F.count_if((F.col("x") > 0) & (F.col("y") == 0)).alias("missing"), F.count_if(F.col("x") == 0).alias("unexpected"), F.count_if(F.col("y") > 1).alias("repeated"))
+
+
+def assert_complete(lists: DataFrame, s1: DataFrame) -> None:
+    """Raises where lists do not have exactly one row for each S1 record."""
+    n = completeness(lists, s1).first()
+    if any(n):
+        raise ValueError(f"incomplete lists: {n['missing']} records missing, {n['unexpected']} unexpected, {n['repeated']} repeated")
+
+
+def write_zip(files: dict[str, str], path: str) -> None:
+    """A zip of small text files, name to content, as a run is handed over."""
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for name, content in files.items():
+            out.writestr(name, content)
+
+
 def as_json(df: DataFrame, name: str = "payload") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
 
-
-def numbered(df: DataFrame, by: str = "ordinal") -> DataFrame:
-    """``row`` from 0 in order. For small reports: all rows pass one task."""
-    return df.withColumn("row", F.row_number().over(Window.orderBy(by)) - 1)
