@@ -87,7 +87,7 @@ def needed_or_first_n(spark, sf):
     return IO.select_rows(e, FX.truth(e).where(F.endswith("s1_id", F.lit("7"))).select("target_id"), first=100).select("entity_id")
 
 
-@query()
+@query(f"with {O.E} select entity_id from e where entity_id like 'S1-%' order by md5(entity_id || ':42'), entity_id limit 200")
 def sample_hash_n(spark, sf):
     return IO.hash_sample(FX.split(FX.entities(spark, sf))[0], 200).select("entity_id")
 
@@ -117,6 +117,20 @@ def scan_tsv(spark, sf):
     return IO.read_tsv(spark, folder)
 
 
+@query(f"with {O.E}, f as (select * from e where entity_id like 'S2-%' order by ordinal limit 1000) select true valid, (select count(*) from e where entity_id like 'S2-%') n_rows, count(*) n_checked, (select string_agg(c, ',' order by c) from (select country || '=' || count(*) c from f group by country)) countries from f")
+def source_check(spark, sf):
+    """The report on a written source."""
+    e = FX.entities(spark, sf).where(F.startswith("entity_id", F.lit("S2-")))
+    line = F.concat_ws("\t", "entity_id", "business_name", F.coalesce("business_address", F.lit("")), "country")
+    folder = scratch(spark)
+    head = spark.createDataFrame([("\t".join(IO.RECORD.names), -1)], "line string, ordinal long")
+    # one file in order, as a source is
+    head.union(e.select(line, "ordinal")).repartition(1).sortWithinPartitions("ordinal").select("line").write.text(folder)
+    report = Q.source_report(spark, folder, IO.RECORD.names, "S2-")
+    counts = F.array_sort(F.transform(F.map_entries("country_counts"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))))
+    return report.select("valid", "n_rows", F.col("n_checked"), F.array_join(counts, ",").alias("countries"))
+
+
 @query(f"with {O.E} select (select count(*) from e) n_rows, count(distinct entity_id) n_ids from e")
 def scan_ids(spark, sf):
     folder = scratch(spark)
@@ -381,6 +395,12 @@ def lr_score_fixed_weights(spark, sf):
     return probable(spark, sf)[0].select("s1_id", "target_id", "prob")
 
 
+@query(f"with {O.PROB} select s1_id, target_id from prob where -4.0 + 6.0 * name_jaccard + 3.0 * addr_jaccard >= ln(0.8 / (1.0 - 0.8))")
+def above_threshold(spark, sf):
+    x = FT.sixteen(paired(spark, sf)[0]).withColumns({c: F.round(c, 9) for c in ("name_jaccard", "addr_jaccard")})
+    return ML.above(x, {"name_jaccard": 6.0, "addr_jaccard": 3.0}, -4.0, 0.8).select("s1_id", "target_id")
+
+
 @query()
 def tiered_score(spark, sf):
     x = FT.eleven(paired(spark, sf)[0])
@@ -628,7 +648,7 @@ def run_counters(spark, sf):
 def json_payload(spark, sf):
     c = decided_records(spark, sf)[0].where(F.size("candidates") > 0)
     n = c.select("s1_id", F.size("candidates").cast("long").alias("n"), F.size(F.filter("candidates", lambda x: x["is_match"])).cast("long").alias("matched"))
-    return n.select("s1_id", F.to_json(F.struct("s1_id", "n", "matched")).alias("payload"))
+    return IO.as_json(n).withColumn("s1_id", F.get_json_object("payload", "$.s1_id"))
 
 
 @query(f"with {O.PROB} select distinct s1_id from prob where prob >= 0.4 and prob < 0.75 and contains(lower(s1_id), '-1')")
