@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of which the texts are taken out of a batch at a time.
+ROWS_AT_ONCE = 1000
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that few texts at a time become objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(at, ROWS_AT_ONCE)
+
+
 def text_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column's values; null as empty."""
     return [v.encode() if v is not None else b"" for v in column.to_pylist()]
@@ -98,14 +111,29 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def named(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes (node, rep, ...)`` with class, the least node reachable over ``links (a, b)``, and component, the least rep in it."""
-    own = cut(nodes.join(connected(links).withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node")))
-    return joined(own, own.groupBy("class").agg(F.min("rep").alias("component")), "class")
+    root = connected(links)
+    # only nodes that have a link
+    linked = cut(root.select("node", F.col("root").alias("class")).union(root.select("root", "root").distinct()).join(nodes.select("node", "rep"), "node"))
+    told = joined(linked, linked.groupBy("class").agg(F.min("rep").alias("component")), "class").select("node", "class", "component")
+    return nodes.join(told, "node", "left").withColumns({"class": F.coalesce("class", "node"), "component": F.coalesce("component", "rep")})
 
 
 def labelled(seen: DataFrame, told: DataFrame, key: str) -> DataFrame:
     """``seen (id, ...)`` with the class and the component that ``told`` has for its ``key``; rows without an id have none."""
-    none = [F.lit(None).cast("long").alias(c) for c in ("class", "component")]
-    return joined(seen.where("id is not null"), told, key).unionByName(seen.where("id is null").select("*", *none))
+    own = seen.join(told, key, "left")
+    return own.withColumns({c: F.when(F.col("id").isNotNull(), F.col(c)) for c in ("class", "component")})
+
+
+_HELD: dict = {}
+
+
+def held(name: str | None, make=None):
+    """What a worker keeps from task to task for the operator ``name``; it forgets that of others, and all of it for None."""
+    if name not in _HELD:
+        _HELD.clear()
+        if name is not None:
+            _HELD[name] = make()
+    return _HELD.get(name)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -125,7 +153,7 @@ def one_of_each(docs: DataFrame, seen: DataFrame, id_col: str = "doc_id", text_c
     key, own_id, own_key = (fresh(docs, n) for n in ("text_key", "own_id", "own_key"))
     kinds = cut(seen.where("id is not null").groupBy("class", "id", "key").agg(F.count("*").alias("n")))
     first = kinds.groupBy("class").agg(F.min(F.struct("id", "key")).alias("first"))
-    known = cut(joined(kinds, first, "class").select(F.col("id").alias(own_id), F.col("key").alias(own_key), "n", (F.struct("id", "key") == F.col("first")).alias("stays")))
+    known = cut(kinds.join(first, "class").select(F.col("id").alias(own_id), F.col("key").alias(own_key), "n", (F.struct("id", "key") == F.col("first")).alias("stays")))
     spare, many = known.where("not stays").select(own_id, own_key), known.where("stays and n > 1").select(own_id, own_key)
     on = (F.col(id_col).cast("long") == F.col(own_id)) & (F.col(key) == F.col(own_key))
     left = docs.withColumn(key, F.xxhash64(text_col)).join(spare, on, "left_anti")

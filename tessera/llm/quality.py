@@ -26,7 +26,7 @@ with clashing names are ignored, or passed through by ``filtered``.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import ALNUM, cut, table
+from tessera.llm.common import ALNUM, cut, held, sliced, table
 from tessera.llm.decontamination import words
 
 WINDOW = 8
@@ -157,19 +157,19 @@ def toxic_stems(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_
     return found
 
 
-def measured(rows: DataFrame, toxic: list[tuple[str, int]] = ()) -> DataFrame:
-    """``rows`` with COUNTS of every whole text in its last column in place of that."""
+def measured(rows: DataFrame, toxic: list[tuple[str, int]] = (), text: Callable[[pa.RecordBatch], pa.Array] = lambda b: b.column("t"), names: list[str] | None = None) -> DataFrame:
+    """``rows`` with COUNTS of every whole text, which ``text`` takes from a batch; ``names`` are the columns that stay, all by default."""
     stems = [(w.encode(), times) for w, times in toxic]
     bad = {n: {w: times for w, times in reversed(stems) if len(w) == n} for n in {len(w) for w, _ in stems}}
-    names = [*rows.columns[:-1], *COUNTS]
+    names = rows.columns if names is None else names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [counts(t or "", bad) for t in b.columns[-1].to_pylist()]
-            columns = zip(*found, strict=True) if found else [[] for _ in COUNTS]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.int64()) for c in columns)], names)
+        held(None)
+        for b in sliced(batches):
+            columns = zip(*[counts(t or "", bad) for t in text(b).to_pylist()], strict=True)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(c, pa.int64()) for c in columns)], [*names, *COUNTS])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in COUNTS)]))
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in names), *(T.StructField(c, T.LongType()) for c in COUNTS)]))
 
 
 def ratio(a: str, b: str) -> Column:
@@ -262,9 +262,9 @@ def posteriors(seen: DataFrame, marks: DataFrame | None) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names) + ", posterior double"))
 
 
-def voted(rows: DataFrame, toxic: list[tuple[str, int]]) -> DataFrame:
+def voted(rows: DataFrame, toxic: list[tuple[str, int]], **kwargs) -> DataFrame:
     """``measured`` with the floor's verdict and the votes."""
-    return measured(rows, toxic).select("*", floor().alias("base_failed"), *(v.cast("int").alias(f"v_{n}") for n, v in votes_of(bool(toxic)).items()))
+    return measured(rows, toxic, **kwargs).select("*", floor().alias("base_failed"), *(v.cast("int").alias(f"v_{n}") for n, v in votes_of(bool(toxic)).items()))
 
 
 def learnt(docs: DataFrame, labelled: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame | None, list[tuple[str, int]]]:
@@ -278,7 +278,7 @@ def learnt(docs: DataFrame, labelled: DataFrame | None, id_col: str = "doc_id",
 def judged(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, *COUNTS, base_failed, posterior, kept) for every row."""
     marks, toxic = learnt(docs, labelled, id_col, text_col)
-    seen = cut(voted(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), toxic))
+    seen = cut(voted(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), toxic, names=["id"]))
     both = seen.join(posteriors(seen, marks), [f"v_{n}" for n in RULES], "left")
     return both.select("id", *COUNTS, "base_failed", "posterior", (~F.col("base_failed") & (F.col("posterior") >= 0.5)).alias("kept"))
 
@@ -286,8 +286,9 @@ def judged(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "do
 def filtered(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that are kept, each judged by its own text: read once for the patterns and once more for the verdict."""
     marks, toxic = learnt(docs, labelled)
-    known = posteriors(voted(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t")), toxic), marks)
-    seen = voted(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("t")), toxic)
+    known = posteriors(voted(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t")), toxic, names=["id"]), marks)
+    place = docs.columns.index("text")
+    seen = voted(docs.select(F.struct(*docs.columns).alias("row")), toxic, text=lambda b: b.column("row").field(place))
     return seen.where("not base_failed").join(known, [f"v_{n}" for n in RULES]).where("posterior >= 0.5").select("row.*")
 
 

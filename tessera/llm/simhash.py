@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ALNUM, connected, cut, joined, labelled, named, one_of_each, partitions, table, text_bytes
+from tessera.llm.common import ALNUM, connected, cut, held, joined, labelled, named, one_of_each, partitions, sliced, table, text_bytes
 
 #: Fingerprints of one bucket that one task compares with each other.
 TILE = 4096
@@ -71,7 +71,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """(id, key, fp): the hash and the signed 64-bit fingerprint of every row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held(None)
+        for b in sliced(batches):
             fps = [fingerprint(t, shingle) for t in text_bytes(b.column(2))]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fps, pa.int64())], ["id", "key", "fp"])
 
@@ -276,7 +277,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     radius = int(BITS * share + WIDE * (BITS * share * (1 - share)) ** 0.5)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held(None)
+        for b in sliced(batches):
             sets = [shingle_set(t, shingle) for t in text_bytes(b.column(2))]
             found = [least_values(s) for s in sets]
             kin = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
@@ -328,7 +330,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     dealt = nodes.select("node", F.explode("keys").alias("key"))
     many = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = (
-        dealt_by(joined(dealt, many, "key").join(nodes.select("node", "fp"), "node"), F.ceil(F.col("n") / F.lit(TILE)))
+        dealt_by(dealt.join(many, "key").join(nodes.select("node", "fp"), "node"), F.ceil(F.col("n") / F.lit(TILE)))
         .groupBy("key", "p", "q")
         .agg(F.collect_list("fp").alias("fps"), F.collect_list("node").alias("nodes"))
     )

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, partitions, table
+from tessera.llm.common import cut, held, partitions, table
 
 #: Bytes of text in a block, of an anchor, and of a shard of regions; regions of one anchor in a shard; bytes hashed at once.
 BLOCK, K, SHARD, PART, CHUNK = 2 << 20, 32, 2 << 20, 1024, 1 << 20
@@ -222,10 +222,12 @@ def repeated_windows(regions: list[bytes], copies: list[int], size: int) -> tupl
     return found, heads
 
 
-def runs(starts: np.ndarray, size: int) -> bytes:
-    """Begin and end of the spans that windows at ``starts`` cover, as little-endian 32-bit pairs."""
+def runs(starts: np.ndarray, size: int, length: int = -1) -> bytes | None:
+    """Begin and end of the spans that windows at ``starts`` cover, as little-endian 32-bit pairs; None for all of a region of ``length`` bytes."""
     if not len(starts):
         return b""
+    if len(starts) == length - size + 1:
+        return None
     gap = np.flatnonzero(np.diff(starts) > size)
     return np.column_stack([starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)] + size]).astype("<i4").tobytes()
 
@@ -234,22 +236,23 @@ def blocked(rows: DataFrame, text_col: str) -> DataFrame:
     """(block, data): ``rows`` with all their columns as compressed blocks, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, room = TaskContext.get().partitionId() << 32, [], 0
+        held(None)
+        number, own, room = TaskContext.get().partitionId() << 32, [], 0
         for b in batches:
             at = 0
             for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(text_col)), 0).to_pylist()):
-                if room + n > BLOCK and (held or i > at):
-                    yield sealed(number, [*held, b.slice(at, i - at)])
-                    number, held, room, at = number + 1, [], 0, i
+                if room + n > BLOCK and (own or i > at):
+                    yield sealed(number, [*own, b.slice(at, i - at)])
+                    number, own, room, at = number + 1, [], 0, i
                 room += n
-            held.append(b.slice(at))
-        if any(h.num_rows for h in held):
-            yield sealed(number, held)
+            own.append(b.slice(at))
+        if any(x.num_rows for x in own):
+            yield sealed(number, own)
 
-    def sealed(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def sealed(number: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
-            out.write_table(pa.Table.from_batches(held).combine_chunks())
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+            out.write_table(pa.Table.from_batches(rows).combine_chunks())
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
 
     return cut(rows.mapInArrow(run, "block long, data binary"))
@@ -324,7 +327,7 @@ def found_spans(blocks: DataFrame, size: int, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(body, pa.binary())], ["h", "part", "dig", "parts", "block", "n", "body"])
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = []  # h, part, dig, parts, blocks, copies, body
+        own: list[list] = []  # h, part, dig, parts, blocks, copies, body
         room = 0
         for b in batches:
             whole = pc.equal(b.column(3), 0)
@@ -332,27 +335,27 @@ def found_spans(blocks: DataFrame, size: int, text_col: str) -> DataFrame:
                 empty = [pa.nulls(alone.num_rows, k) for k in (pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([alone.column(0), alone.column(2), alone.column(4), empty[0], pa.array(np.full(alone.num_rows, -1, np.int32)), empty[1]], ["h", "dig", "block", "spans", "cut", "run"])
             for h, part, dig, parts, block, n, body in zip(*(c.to_pylist() for c in b.filter(pc.invert(whole)).columns), strict=True):
-                if held and held[-1][0] == h and held[-1][2] == dig:
-                    last = held[-1]
+                if own and own[-1][0] == h and own[-1][2] == dig:
+                    last = own[-1]
                     last[4].append(block)
                     last[5] += n
                     if last[6] is None and body is not None:
                         last[6] = body
                         room += len(body)
                     continue
-                if room > SHARD and (held[-1][0] != h or held[-1][1] != part):
-                    yield from solved(held)
-                    held, room = [], 0
-                held.append([h, part, dig, parts, [block], n, body])
+                if room > SHARD and (own[-1][0] != h or own[-1][1] != part):
+                    yield from solved(own)
+                    own, room = [], 0
+                own.append([h, part, dig, parts, [block], n, body])
                 room += len(body or b"")
-        if held:
-            yield from solved(held)
+        if own:
+            yield from solved(own)
 
-    def solved(held: list[list]) -> Iterator[pa.RecordBatch]:
-        found, heads = repeated_windows([r[6] for r in held], [r[5] for r in held], size)
-        out = [(r[0], r[2], block, runs(f, size), -1, None) for r, f in zip(held, found, strict=True) if len(f) or r[3] > 1 for block in r[4]]
+    def solved(rows: list[list]) -> Iterator[pa.RecordBatch]:
+        found, heads = repeated_windows([r[6] for r in rows], [r[5] for r in rows], size)
+        out = [(r[0], r[2], block, own, -1, None) for r, f in zip(rows, found, strict=True) if len(f) or r[3] > 1 for own in [runs(f, size, len(r[6]))] for block in r[4]]
         hot: dict[tuple, list] = {}
-        for r, f, first in zip(held, found, heads, strict=True):
+        for r, f, first in zip(rows, found, heads, strict=True):
             if r[3] > 1:
                 for s in sorted({*first.tolist(), *f.tolist()}):
                     hot.setdefault((r[0], r[1], r[3]), []).append((xxhash.xxh3_128_digest(r[6][s : s + size]), r[2].to_bytes(8, "little", signed=True), s.to_bytes(4, "little")))
@@ -394,29 +397,35 @@ def merge(part: pa.Table, size: int) -> pa.Table:
     return pa.table({"h": pa.array([h] * len(out), pa.int64()), "dig": pa.array(list(out), pa.int64()), "spans": pa.array([runs(np.unique(s), size) for s in out.values()], pa.binary())})
 
 
-def covered(raw: np.ndarray, ends: np.ndarray, found: list[dict] | None, size: int) -> np.ndarray:
-    """For each byte of a block's texts whether it goes."""
+def paired(h: np.ndarray, dig: np.ndarray) -> np.ndarray:
+    """One 64-bit name for an anchor and a region hash."""
+    return h.view(np.uint64) * np.uint64(_MUL) ^ dig.view(np.uint64)
+
+
+def covered(raw: np.ndarray, ends: np.ndarray, found: pa.ListScalar, size: int) -> np.ndarray:
+    """For each byte of a block's texts whether it goes; ``found`` lists (h, dig, spans), null spans standing for a whole region."""
     edge = np.zeros(len(raw) + 1, np.int32)
-    if found:
+    if found.is_valid and len(found.values):
+        asked = found.values
+        names = paired(asked.field("h").to_numpy(), asked.field("dig").to_numpy())
+        order = np.argsort(names, kind="stable")
+        names, whole = names[order], asked.field("spans").is_null().to_numpy(zero_copy_only=False)[order]
         h, low, high, dig = anchors(raw, ends, size)
-        own: dict[tuple, list[int]] = {}
-        asked = {(f["h"], f["dig"]) for f in found}
-        names = np.unique(np.array([k for k, _ in asked], np.int64))
-        near = names[np.minimum(np.searchsorted(names, h.view(np.int64)), len(names) - 1)] == h.view(np.int64)
-        for x, d, s, e in zip(h[near].view(np.int64).tolist(), dig[near].view(np.int64).tolist(), low[near].tolist(), (high[near] + size).tolist(), strict=True):
-            own.setdefault((x, d), []).append((s, e))
-        begin, end = [], []
-        for f in found:
-            places = own.get((f["h"], f["dig"]), ())
-            if f["spans"] is None:
-                begin += [s for s, _ in places]
-                end += [e for _, e in places]
-                continue
-            for s, e in np.frombuffer(f["spans"], "<i4").reshape(-1, 2).tolist():
-                begin += [at + s for at, _ in places]
-                end += [at + e for at, _ in places]
-        np.add.at(edge, np.array(begin, np.int64), 1)
-        np.subtract.at(edge, np.array(end, np.int64), 1)
+        own = paired(h, dig)
+        first = np.searchsorted(names, own, "left")
+        met = np.flatnonzero((first < len(names)) & (names[np.minimum(first, len(names) - 1)] == own))
+        first, last = first[met], np.searchsorted(names, own[met], "right")
+        upto = np.concatenate([[0], np.cumsum(whole)])
+        all_ = upto[last] > upto[first]
+        np.add.at(edge, low[met[all_]], 1)
+        np.subtract.at(edge, high[met[all_]] + size, 1)
+        spans = asked.field("spans").take(pa.array(order)).to_pylist()
+        for i, s, e in zip(met[~all_].tolist(), first[~all_].tolist(), last[~all_].tolist(), strict=True):
+            at = int(low[i])
+            for k in range(s, e):
+                for begin, end in np.frombuffer(spans[k], "<i4").reshape(-1, 2).tolist():
+                    edge[at + begin] += 1
+                    edge[at + end] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -440,7 +449,7 @@ def deduplicated(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_
         for b in batches:
             for i in range(b.num_rows):
                 own, raw, ends = opened(b.column("data")[i].as_buffer(), "t")
-                gone = covered(raw, ends, b.column("found")[i].as_py(), size)
+                gone = covered(raw, ends, b.column("found")[i], size)
                 sizes, spans, kept = [], [], []
                 for at, end, cuts in pieces(gone, ends):
                     sizes.append(end - at)
@@ -463,7 +472,7 @@ def without_repeats(docs: DataFrame, size: int = 200, text_col: str = "text") ->
         for b in batches:
             for i in range(b.num_rows):
                 own, raw, ends = opened(b.column("data")[i].as_buffer(), text_col)
-                gone = covered(raw, ends, b.column("found")[i].as_py(), size)
+                gone = covered(raw, ends, b.column("found")[i], size)
                 left = [raw[at:end][~gone[at:end]].tobytes().decode(errors="ignore") for at, end, _ in pieces(gone, ends)]
                 text = pa.array([t if v else None for t, v in zip(left, own.column(text_col).is_valid().to_pylist(), strict=True)], pa.string())
                 changed = {text_col: text} | ({"n_chars": pc.cast(pc.utf8_length(text), pa.int64())} if counted else {})

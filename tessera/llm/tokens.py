@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import held, table
 
 #: Bytes of one call of the encoder, pieces that a worker remembers, and characters that make a piece a long one.
 CALL_BYTES, REMEMBERED, LONG = 1 << 18, 300_000, 4096
@@ -81,22 +81,11 @@ def lengths(texts: list[str], tokenizer, known: dict[str, int]) -> list[int]:
     return [sum(map(known.__getitem__, ps)) for ps in split]
 
 
-_KEPT: dict[str, tuple] = {}
-
-
-def kept(path: str) -> tuple:
-    """The encoder of a tokenizer file and the pieces that it has counted; a worker keeps them from task to task."""
-    if path not in _KEPT:
-        _KEPT.clear()
-        _KEPT[path] = encoder(path), {}
-    return _KEPT[path]
-
-
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) of every row's whole text under the tokenizer file at ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = kept(path)
+        tokenizer, known = held(f"pieces of {path}", lambda: (encoder(path), {}))
         for b in batches:
             texts, counts, sizes = [t or "" for t in b.column(1).to_pylist()], [], []
             for part in by_bytes(texts):
