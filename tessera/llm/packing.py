@@ -14,25 +14,27 @@ length are cut; equal rows are packed each; an empty table gives no rows; other
 from __future__ import annotations
 
 import gc
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, held, table
 from tessera.llm.tokens import by_bytes, encoder
 
 #: Windows open in a partition, and partitions whose last windows are merged by one task.
 OPEN, MERGE = 32, 256
-#: Words that a worker remembers, and what is cut off their ends.
-REMEMBERED, TAIL = 1_200_000, b".,!?;:#$%&*"
-#: Bytes of texts whose words are looked up together.
-TEXT_BYTES = 1 << 21
+#: Words that a worker remembers, those of them that are not merged yet, and what is cut off words' ends.
+REMEMBERED, RECENT, TAIL = 3_000_000, 60_000, b".,!?;:#$%&*"
+#: Bytes of texts whose words are looked up together, and words of letters that are encoded in one call.
+TEXT_BYTES, TOGETHER = 1 << 21, 1 << 14
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 FIELDS = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 Piece = tuple  # (id, start, tokens of the document, its ids as bytes)
@@ -97,75 +99,135 @@ class Words:
     holds one in any case is kept as it stands. A word of letters alone has at least one last token,
     marked by its ``</w>``; many of them are encoded in one call, and if there are as many last tokens as
     words, each word has just one and is told apart by it.
+
+    What is remembered is kept in arrays, sorted by the words' 64-bit hashes and told apart by their lengths as well, some 25
+    bytes a word; the last ``RECENT`` words are in a dictionary until they are merged.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = encoder(path), {}
+        self.tokenizer = encoder(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def learn(self, words: list[bytes]) -> None:
-        known, bare, cut, rest = self.known, {}, [], []
+        self.recent: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.names, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.begin, self.end, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), b""
+
+    def merge(self) -> None:
+        if len(self.names) > REMEMBERED:
+            self.forget()
+        words, ids = list(self.recent), list(self.recent.values())
+        end = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + len(self.pool)
+        names = np.concatenate([self.names, np.fromiter(map(hash, words), np.int64, len(words))])
+        order = np.argsort(names, kind="stable")
+        self.names = names[order]
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, words), np.int64, len(words)).astype(np.uint8)])[order]
+        self.begin = np.concatenate([self.begin, np.append(len(self.pool), end[:-1])])[order]
+        self.end = np.concatenate([self.end, end])[order]
+        self.pool += b"".join(ids)
+        self.recent = {}
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of words that are remembered, None for others."""
+        found = list(map(self.recent.get, words))
+        if len(self.names):
+            rest = [i for i, ids in enumerate(found) if ids is None]
+            own = [words[i] for i in rest]
+            names = np.fromiter(map(hash, own), np.int64, len(own))
+            order = np.argsort(names)  # neighbours are looked up side by side
+            names = names[order]
+            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+            met = np.flatnonzero((self.names[at] == names) & (self.sizes[at] == np.fromiter(map(len, own), np.int64, len(own)).astype(np.uint8)[order]))
+            pool, at = self.pool, at[met]
+            for i, s, e in zip(np.array(rest)[order[met]].tolist(), self.begin[at].tolist(), self.end[at].tolist(), strict=True):
+                found[i] = pool[s:e]
+        return found
+
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not remembered."""
+        units: dict[bytes, str] = {}
+        cut = []
         for w in words:
-            core = w.rstrip(TAIL)
-            if len(core) < len(w) and core and ((text := core.decode())[-1].lower()[-1].isalpha() or core[-1:].isdigit()):
-                cut.append((w, core))
-                if (tail := w[len(core) :]) not in known:
-                    rest.append(tail.decode())
-                    known[tail] = b""
-            else:
-                core, text = w, w.decode()
-            if core not in known and core not in bare:
-                bare[core] = text
-        for run in by_bytes([t for t in bare.values() if t.isalpha()]):
-            self.together(run)
-        for run in by_bytes(rest + [t for t in bare.values() if not t.isalpha()]):
-            self.apart(run)
-        known.update((w, known[core] + known[w[len(core) :]]) for w, core in cut)
-
-    def together(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            if w[-1] in TAIL and (core := w.rstrip(TAIL)):
+                text = core.decode()
+                if text[-1].lower()[-1].isalpha() or core[-1:].isdigit():
+                    tail = w[len(core) :]
+                    cut.append((w, core, tail))
+                    units[core], units[tail] = text, tail.decode()
+                    continue
+            units[w] = w.decode()
+        known = {}
+        if parts := list({part for c in cut for part in c[1:]}):
+            known = {w: ids for w, ids in zip(parts, self.find(parts), strict=True) if ids is not None}
+        new = [(w, t) for w, t in units.items() if w not in known]
+        letters, others = [x for x in new if x[1].isalpha()], [x for x in new if not x[1].isalpha()]
+        fresh: dict[bytes, bytes] = {}
+        for i in range(0, len(letters), TOGETHER):
+            self.together(letters[i : i + TOGETHER], fresh)
+        self.apart(others, fresh)
+        known.update(fresh)
+        fresh.update([(w, known[core] + known[tail]) for w, core, tail in cut])
+        self.recent.update(fresh)
+        return fresh
+
+    def together(self, units: list[tuple[bytes, str]], fresh: dict[bytes, bytes]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in units])], add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-        if len(ends) != len(words):
-            half = len(words) // 2
-            return self.apart(words) if half < 8 else (self.together(words[:half]), self.together(words[half:]))
+        if len(ends) != len(units):
+            half = len(units) // 2
+            if half < 8:
+                return self.apart(units, fresh)
+            self.together(units[:half], fresh)
+            return self.together(units[half:], fresh)
         raw = ids.tobytes()
-        self.known.update((w.encode(), raw[s:e]) for w, s, e in zip(words, [0, *ends], ends, strict=False))
-
-    def apart(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w.encode()] = np.array(e.ids, "<u4").tobytes()
-
-    def split(self, text: str) -> list[bytes]:
-        low = text.encode().lower()
-        if any(s in low for s in self.special):
-            return [raw if any(s in w for s in self.special) else w for raw, w in zip(text.encode().split(), low.split(), strict=True)]
-        return low.split()
+        fresh.update([(u[0], raw[s:e]) for u, s, e in zip(units, [0, *ends], ends, strict=False)])
+
+    def apart(self, units: list[tuple[bytes, str]], fresh: dict[bytes, bytes]) -> None:
+        at = 0
+        for run in by_bytes([t for _, t in units]):
+            for (w, _), e in zip(units[at : at + len(run)], self.tokenizer.encode_batch_fast(run, add_special_tokens=False), strict=True):
+                fresh[w] = np.array(e.ids, "<u4").tobytes()
+            at += len(run)
+
+    def cased(self, raw: str) -> str:
+        """A text in lower case but for words that hold a special string."""
+        low = raw.encode().lower()
+        return b" ".join([r if any(s in w for s in self.special) else w for r, w in zip(raw.encode().split(), low.split(), strict=True)]).decode()
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts side by side, and where each begins and the last ends."""
+        low = pc.ascii_lower(texts)
+        held = np.zeros(len(texts), bool)
+        for s in self.special:
+            held |= pc.match_substring(low, s.decode()).to_numpy(zero_copy_only=False)
+        if held.any():
+            low = pa.array([self.cased(texts[i].as_py()) if h else low[i].as_py() for i, h in enumerate(held.tolist())], pa.string())
+        split = pc.ascii_split_whitespace(low)
+        kinds = pc.dictionary_encode(split.flatten())
+        words = kinds.dictionary.cast(pa.binary()).to_pylist()
+        found = self.find(words)
+        if missing := [w for w, ids in zip(words, found, strict=True) if ids is None and w]:
+            new = self.learn(missing)
+            found = [new.get(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            if len(self.recent) > RECENT:
+                self.merge()
+        found = [ids or b"" for ids in found]  # white space at an end makes an empty word
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = kinds.indices.to_numpy()
+        each = n[at]
+        end = np.cumsum(each)
+        ids = np.frombuffer(b"".join(found), "<u4")
+        ids = ids[np.repeat((np.cumsum(n) - n)[at] - (end - each), each) + np.arange(end[-1] if len(end) else 0)]
+        bounds = split.offsets.to_numpy()
+        return ids, np.concatenate([[0], end])[bounds - bounds[0]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        # what a batch needs is a small table of its own
-        every = set().union(*split)
-        near = dict(zip(every, map(self.known.get, every), strict=True))
-        if new := [w for w, ids in near.items() if ids is None]:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self.learn(new)
-            near.update((w, self.known[w]) for w in new)
-        return [b"".join(map(near.__getitem__, words)) for words in split]
-
-
-_KEPT: dict[str, Words] = {}
-
-
-def words_of(path: str) -> Words:
-    """The words of a tokenizer file; a worker keeps them from task to task."""
-    if path not in _KEPT:
-        _KEPT.clear()
-        _KEPT[path] = Words(path)
-    return _KEPT[path]
+        ids, bounds = self.encoded(pa.array(texts, pa.string()))
+        return [ids[s:e].tobytes() for s, e in itertools.pairwise(bounds.tolist())]
 
 
 def pack(docs: DataFrame, path: str, end_id: int, size: int = 4096, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,14 +243,18 @@ def pack(docs: DataFrame, path: str, end_id: int, size: int = 4096, with_ids: bo
             gc.enable()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = words_of(path), Packer(size)
+        words, packer = held(f"words of {path}", lambda: Words(path)), Packer(size)
         base, out = TaskContext.get().partitionId() << 32, 0
         for b in batches:
             found = []
-            docs_of = iter(b.column(0).to_pylist())
-            for texts in by_bytes([t or "" for t in b.column(1).to_pylist()], TEXT_BYTES):
-                for ids, doc in zip(words(texts), docs_of, strict=False):  # ends with the texts
-                    for window in packer.add(doc, 0, len(ids) // 4 + 1, ids + end):
+            texts = pc.fill_null(b.column(1), "")
+            upto = np.cumsum(pc.binary_length(texts).to_numpy())
+            cuts = np.flatnonzero(np.diff(upto // TEXT_BYTES, prepend=0))
+            for s, e in itertools.pairwise([0, *cuts[cuts > 0].tolist(), b.num_rows]):
+                ids, bounds = words.encoded(texts[s:e])
+                raw = ids.tobytes()
+                for doc, (i, j) in zip(b.column(0)[s:e].to_pylist(), itertools.pairwise((4 * bounds).tolist()), strict=True):
+                    for window in packer.add(doc, 0, (j - i) // 4 + 1, raw[i:j] + end):
                         found += rows(window, base + out, with_ids)
                         out += 1
             if found:

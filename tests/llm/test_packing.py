@@ -45,6 +45,17 @@ def test_words_equal_the_tokenizer(parts):
     assert WORDS([text])[0] == b"".join(i.to_bytes(4, "little") for i in want)
 
 
+def test_words_are_forgotten_and_learnt_again(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    monkeypatch.setattr(packing, "RECENT", 15)
+    words = packing.Words(PATH)
+    for k in range(40):
+        text = " ".join(f"w{j}x, Word{j % 9}." for j in range(k % 7 * 10, k % 7 * 10 + 25))
+        assert words([text])[0] == b"".join(i.to_bytes(4, "little") for i in words.tokenizer.encode(text, add_special_tokens=False).ids)
+        assert len(words.names) + len(words.recent) < 250
+    assert len(words.names) and words.find([b"never"]) == [None]
+
+
 def test_letters_that_fall_apart_in_lower_case():
     words = packing.Words(PATH)
     text = " ".join(["İzmir" if i % 50 == 7 else f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)])
