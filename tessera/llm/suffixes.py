@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, held, partitions, table
 
 #: Bytes of text in a block, of an anchor, and of a shard of regions; regions of one anchor in a shard; bytes hashed at once.
-BLOCK, K, SHARD, PART, CHUNK = 2 << 20, 32, 2 << 20, 1024, 1 << 20
+BLOCK, K, SHARD, PART, CHUNK = 2 << 20, 32, 1 << 20, 1024, 1 << 19
 #: Regions that a task remembers to have sent.
 SENT = 200_000
 _RNG = np.random.default_rng(7)
