@@ -43,3 +43,29 @@ def test_stages_equal_brute_force(spark, tmp_path):
     tokenizer = test_packing.encoder(test_packing.PATH)
     want = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept.items()}
     assert {i: sum(r.length for r in rows if r.doc_id == i) for i in want} == want and {r.doc_id for r in rows} == set(want)
+
+
+def written(spark, folder, docs, columns):
+    spark.createDataFrame(docs, columns).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(rng.choice([f"w{k}" for k in range(600)], n))
+    a, b, c, d = (text(70) for _ in range(4))
+    rows = [(None, a, 1), (None, b, 2), (5, c, 3), (5, c, 3), (5, d, 4), (6, None, 5), (6, "", 6), (7, "short", 7)]
+    docs = [(i, t, "en", "s", len(t or ""), k, 0, "x", "y", 0, 0.5) for i, t, k in rows]
+    written(spark, tmp_path, docs, "doc_id long, text string, lang string, source string, n_chars long, row int, key int, component string, found string, at int, posterior double")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = frame.columns
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        frame = stage(spark, frame, str(tmp_path))
+        assert frame.columns == columns
+        assert sorted(r.row for r in frame.collect()) in ([1, 2, 3, 3, 4], [1, 2, 3, 4])
+    assert sorted((r.row, r.text) for r in frame.collect()) == [(1, a), (2, b), (3, c), (4, d)]
+
+
+def test_empty_tables(spark, tmp_path):
+    written(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
