@@ -50,7 +50,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 #: Rows of which the texts are taken out of a batch at a time.
-ROWS_AT_ONCE = 1000
+ROWS_AT_ONCE = 500
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

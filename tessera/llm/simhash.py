@@ -286,7 +286,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
             yield pa.RecordBatch.from_arrays([*b.columns[:2], *columns], ["id", "key", "kin", "fp", "keys"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held(None)
+        for b in sliced(batches):
             ends_a, ends_b = [], []
             for fps, reps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 label = wide_linked(np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1), radius)
@@ -298,22 +299,23 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come ordered by cell and parts; a repeated row lies beside its first copy
-        place, held = None, {}
-        for b in batches:
+        place, met = None, {}
+        held(None)
+        for b in sliced(batches):
             for cell, p, q, node, fp, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if place != (cell, p, q):
-                    yield from solved(held)
-                    place, held = (cell, p, q), {}
-                if node not in held:
-                    held[node] = fp, shingle_set((t or "").encode(), shingle)
-        yield from solved(held)
-
-    def solved(held: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
-        if len(held) > 1:
-            own = np.array(list(held), np.int64)
-            fps = np.frombuffer(b"".join(fp for fp, _ in held.values()), np.uint64).reshape(len(held), -1)
-            label = verified([x for _, x in held.values()], fps, radius, similarity)
-            x = np.flatnonzero(label != np.arange(len(held)))
+                    yield from solved(met)
+                    place, met = (cell, p, q), {}
+                if node not in met:
+                    met[node] = fp, shingle_set((t or "").encode(), shingle)
+        yield from solved(met)
+
+    def solved(met: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        if len(met) > 1:
+            own = np.array(list(met), np.int64)
+            fps = np.frombuffer(b"".join(fp for fp, _ in met.values()), np.uint64).reshape(len(met), -1)
+            label = verified([x for _, x in met.values()], fps, radius, similarity)
+            x = np.flatnonzero(label != np.arange(len(met)))
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(own[x]), pa.array(own[label[x]])], ["a", "b"])
 

@@ -275,6 +275,7 @@ def found_spans(blocks: DataFrame, size: int, text_col: str) -> DataFrame:
     """(block, data, found): the blocks with what goes of their regions: anchor, region hash and spans."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(None)
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 _, raw, ends = opened(data.as_buffer(), text_col)
@@ -327,6 +328,7 @@ def found_spans(blocks: DataFrame, size: int, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(body, pa.binary())], ["h", "part", "dig", "parts", "block", "n", "body"])
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(None)
         own: list[list] = []  # h, part, dig, parts, blocks, copies, body
         room = 0
         for b in batches:
