@@ -18,3 +18,32 @@ def test_quantile_is_exact(spark, n):
 
 def test_quantile_without_rows(spark):
     assert quantile(spark.range(0).withColumnRenamed("id", "ordinal"), 0.7) is None
+
+
+@pytest.mark.parametrize("blocks", [(B.OWN, B.OTHER), (37, 23)])
+@pytest.mark.parametrize("k", [1, 20])
+def test_best_is_top_of_all_pairs(spark, blocks, k):
+    columns = ("s1_id", "target_id", "s1_ordinal", "ordinal", "score", "rank")
+    rows = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
+    s1, t, _ = P.meta(spark, SF)
+    every = B.rescored(B.blocked(s1, t, B.THREE_PASSES), s1, t)
+    assert rows(B.best(s1, t, B.THREE_PASSES, k, B.OVERLAPS, blocks=blocks)) == rows(B.top(every, k))
+    assert rows(B.best(s1, t, B.FOUR_CAPPED, k, blocks=blocks)) == rows(B.top(B.blocked(s1, t, B.FOUR_CAPPED), k))
+
+
+def test_best_counts_repeats_and_shared_tokens(spark):
+    """Repeated tokens count m times n; most targets share an address word; records without keys stay out."""
+    schema = "entity_id string, ordinal long, country string, name_tokens array<string>, core_tokens array<string>, addr_tokens array<string>, digits array<string>"
+    own = lambda i, name, country="DE": (i, int(i[3:]), country, name, [x for x in name if len(x) > 1], ["road"] + name[:1], ["12"])
+    s1 = spark.createDataFrame([own("S1-1", ["anna", "anna", "bert"]), own("S1-2", []), own("S1-3", ["anna"], "FR")], schema)
+    t = spark.createDataFrame([own(f"S2-{i}", ["anna"] * (i % 4) + ["carl"]) for i in range(1, 90)] + [own("S2-0", [])], schema)
+    got = B.best(s1, t, B.THREE_PASSES, 5, B.OVERLAPS, ("name_tokens", "addr_tokens"), (2, 40))
+    want = B.top(B.rescored(B.blocked(s1, t, B.THREE_PASSES), s1, t), 5)
+    rows = lambda df: sorted(tuple(r) for r in df.select("s1_id", "target_id", "score", "rank").collect())
+    assert rows(got) == rows(want) and len(rows(got)) == 5
+    assert {tuple(r) for r in got.select("common_name_tokens", "union_name_tokens", "common_addr_tokens", "union_addr_tokens").collect()} == {(1, 3, 2, 2)}
+
+
+@pytest.mark.parametrize("name", ["above_threshold", "assign_unique", "blocking_recall", "candidate_result", "features16"])
+def test_pairs_are_not_exchanged_before_the_best_are_taken(spark, name):
+    assert "FlatMapCoGroupsInArrow" in P.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
