@@ -44,6 +44,6 @@ def test_best_counts_repeats_and_shared_tokens(spark):
     assert {tuple(r) for r in got.select("common_name_tokens", "union_name_tokens", "common_addr_tokens", "union_addr_tokens").collect()} == {(1, 3, 2, 2)}
 
 
-@pytest.mark.parametrize("name", ["above_threshold", "assign_unique", "blocking_recall", "candidate_result", "features16"])
+@pytest.mark.parametrize("name", ["above_threshold", "assign_unique", "blocking_recall", "candidate_result", "block_write_capped", "features16", "features7"])
 def test_pairs_are_not_exchanged_before_the_best_are_taken(spark, name):
     assert "FlatMapCoGroupsInArrow" in P.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
