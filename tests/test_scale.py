@@ -1,4 +1,6 @@
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +49,29 @@ def test_best_counts_repeats_and_shared_tokens(spark):
 @pytest.mark.parametrize("name", ["above_threshold", "assign_unique", "blocking_recall", "candidate_result", "block_write_capped", "features16", "features7"])
 def test_pairs_are_not_exchanged_before_the_best_are_taken(spark, name):
     assert "FlatMapCoGroupsInArrow" in P.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_records_are_dealt_once_and_targets_packed(spark):
+    """What is exchanged for a block does not grow with the blocks it meets: S1 rows stand once for many slices of targets, and targets are packed before they are repeated."""
+    schema = "entity_id string, ordinal long, country string, name_tokens array<string>, core_tokens array<string>, addr_tokens array<string>, digits array<string>"
+    own = lambda p, i: (f"{p}-{i}", i, "DE", w := [f"name{i * j % 97}" for j in range(1, 9)], w, w, [f"{i % 31}"])
+    s1, t = (spark.createDataFrame([own(p, i) for i in range(200)], schema).coalesce(1) for p in ("S1", "S2"))
+    met = B.best(s1, t, B.THREE_PASSES, 20, B.OVERLAPS, blocks=(50, 20))
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("FlatMapCoGroupsInArrow") < plan.index("MapInArrow _packed")
+    one, two = (plan[at:].split("\n")[0] for at in (plan.index("RepartitionByExpression [a_group"), plan.index("RepartitionByExpression [b_group")))
+    assert one.endswith(", 4") and two.endswith(", 4")  # four blocks of records, not forty pairs of blocks
+    rows = lambda df: sorted(tuple(r) for r in df.select("s1_id", "target_id", "score", "rank").collect())
+    assert rows(met) == rows(B.top(B.rescored(B.blocked(s1, t, B.THREE_PASSES), s1, t)))
+
+
+def test_packed_targets_are_small_and_whole():
+    f = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 3000)[np.random.default_rng(2).zipf(1.3, (20_000, 30)) % 3000]
+    names = [f"S2-{i}" for i in range(20_000)]
+    rows = pa.record_batch({"b_group": ["DE", "FR"] * 10_000, "b_parts": pa.array([2] * 20_000, pa.int32()), "b_other": pa.array([0] * 20_000, pa.int32()), "target_id": names, "ordinal": range(20_000), "f": list(f)})
+    (out,) = B._packed(iter([rows.slice(0, 7000), rows.slice(7000)]))
+    assert out.column("b_group").to_pylist() == ["DE", "FR"] and out.column("b_parts").to_pylist() == [2, 2]
+    assert sum(len(x.as_py()) for x in out.column("pack")) < f.nbytes / 3
+    slices = list(B._unpacked(pa.chunked_array([out.column("pack").slice(0, 1)]), 4096))
+    assert [x.num_rows for x in slices] == [4096, 4096, 1808]
+    assert {x["target_id"]: x["f"] for s in slices for x in s.to_pylist()} == {n: x for n, x in zip(names[::2], f[::2].tolist())}
