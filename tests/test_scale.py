@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import similarity as S
 from tessera.operators import blocking as B
 from tessera.plans import queries as P
 from tessera.sources.stage import quantile
@@ -75,3 +76,26 @@ def test_packed_targets_are_small_and_whole():
     slices = list(B._unpacked(pa.chunked_array([out.column("pack").slice(0, 1)]), 4096))
     assert [x.num_rows for x in slices] == [4096, 4096, 1808]
     assert {x["target_id"]: x["f"] for s in slices for x in s.to_pylist()} == {n: x for n, x in zip(names[::2], f[::2].tolist())}
+
+
+def test_nearest_searches_equal_vectors_once(spark):
+    """Many copies, ties between different vectors and several blocks: the same as all pairs sorted."""
+    own = lambda n, m, g: [(i, "x" if i % 5 else "y", [float(v) for v in np.random.default_rng(i % m).integers(-2, 3, 4)]) for i in range(g, g + n)]
+    a, b = own(300, 40, 1000), own(900, 60, 5000)
+    q, t = (spark.createDataFrame(x, "id long, label string, vector array<float>") for x in (a, b))
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-300)
+    want = []
+    for i, g, v in a:
+        best = sorted((-round(float(unit(v) @ unit(w)), 12), j) for j, h, w in b if h == g)[:7]
+        want += [(i, j, n) for n, (_, j) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in B.nearest(q, t, 7, block=2).select("query_id", "target_id", "rank").collect()) == want
+    found = B.nearest(q, t, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in found
+
+
+def test_many_ratios_are_each_ratio():
+    r = np.random.default_rng(3)
+    some = ["", " ", "a", "a a", "b a a", "\0a", "a\0", "ß é", "x" * 64, "x" * 65, "ab cd " * 50] + ["".join(r.choice(list("abc é"), r.integers(0, 90))) for _ in range(40)]
+    a, b = [x for x in some for _ in some], some * len(some)
+    for one, many in ((S.ratio, S.ratios), (S.partial, S.partials), (S.token_sort, S.token_sorts), (S.token_set, S.token_sets), (S.weighted, S.weighteds)):
+        assert many(a, b).tolist() == [one(x, y) for x, y in zip(a, b, strict=True)]
