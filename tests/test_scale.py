@@ -52,6 +52,12 @@ def test_pairs_are_not_exchanged_before_the_best_are_taken(spark, name):
     assert "FlatMapCoGroupsInArrow" in P.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["decision_overlay"])
+def test_pairs_are_found_once(spark, name):
+    """A second plan of the best pairs deals and meets all blocks again, as its columns or filters differ."""
+    assert P.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") <= 1
+
+
 def test_records_are_dealt_once_and_targets_packed(spark):
     """What is exchanged for a block does not grow with the blocks it meets: S1 rows stand once for many slices of targets, and targets are packed before they are repeated."""
     schema = "entity_id string, ordinal long, country string, name_tokens array<string>, core_tokens array<string>, addr_tokens array<string>, digits array<string>"
