@@ -52,7 +52,7 @@ def test_pairs_are_not_exchanged_before_the_best_are_taken(spark, name):
     assert "FlatMapCoGroupsInArrow" in P.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["decision_overlay"])
+@pytest.mark.parametrize("name", ["decision_overlay", "entity_f05"])
 def test_pairs_are_found_once(spark, name):
     """A second plan of the best pairs deals and meets all blocks again, as its columns or filters differ."""
     assert P.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") <= 1
