@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import similarity as S
 from tessera.operators import blocking as B
+from tessera.operators import evaluate as V
+from tessera.plans import fixture as FX
+from tessera.plans import oracle as O
 from tessera.plans import queries as P
 from tessera.sources.stage import quantile
 
@@ -52,6 +55,32 @@ def test_pairs_are_not_exchanged_before_the_best_are_taken(spark, name):
     assert "FlatMapCoGroupsInArrow" in P.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_texts_are_scanned_once(spark):
+    """Three scans of the texts, each cutting whole texts for a few words, took more CPU than the search."""
+    assert FX.entities(spark, SF)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_entities_are_those_of_the_sql(spark, tmp_path):
+    texts = [None, "", " ", "\n", "\na b", "a\n", "a b c d e f g", "a b c d e f g ", "a b c d e f g h i", "a\t\tb \r\n c", "ß a", "a\u00a0b c", "  lead in", "  \n p q", "a\x0bb c"]
+    rows = [(i * 7 + n, t, lang) for i, t in enumerate(texts * 3) for n, lang in enumerate(("en", " de ", None))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.sql(f"with {O.E} select entity_id, business_name, business_address, country, ordinal from e").fetchall()
+    null_last = lambda rs: sorted((tuple(r) for r in rs), key=lambda r: [(x is None, x) for x in r])
+    assert null_last(FX.entities(spark, str(tmp_path)).collect()) == null_last(want)
+
+
+def test_number_of_candidates_needs_no_overlaps(spark, monkeypatch):
+    """The counts are those of the rescored best; features that move no count are not packed for them."""
+    pairs, s1, _, _ = P.ranked(spark, SF)
+    want = V.candidate_distribution(s1.select(F.col("entity_id").alias("s1_id")), pairs).collect()
+    asked, best = [], B.best
+    monkeypatch.setattr(B, "best", lambda s1, t, passes, k=20, overlaps=(), *more: asked.append(overlaps) or best(s1, t, passes, k, overlaps, *more))
+    assert P.QUERIES["candidate_distribution"](spark, SF).collect() == want
+    assert asked == [()]
+
+
 @pytest.mark.parametrize("name", ["decision_overlay", "entity_f05"])
 def test_pairs_are_found_once(spark, name):
     """A second plan of the best pairs deals and meets all blocks again, as its columns or filters differ."""
