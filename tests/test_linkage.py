@@ -207,6 +207,33 @@ def test_trees_learn_held_out_pairs(spark):
     assert rest.where("(prob >= 0.5) = (label = 1)").count() > 0.95 * rest.count()
 
 
+def test_trees_learn_from_every_pair(spark):
+    """Twenty rows of 300,000 make a leaf only where all of them are counted; a share by hash had some thirteen."""
+    label = "case when id % 15000 = 7 then 1 when id % 9 = 0 then 1 else 0 end"
+    pairs = spark.range(300_000).selectExpr("concat('S1-', id) s1_id", "concat('S2-', id) target_id", f"{label} label", "double(id % 15000 = 7) a", "double(id % 3) b")
+    assert pairs.where("a = 1").count() == 20
+    prob = {(r.a, r.b): r.prob for r in ML.predict(ML.fit(pairs, ["a", "b"], True, 30), pairs.select("a", "b").distinct(), ["a", "b"]).collect()}
+    assert min(p for (a, _), p in prob.items() if a == 1) > max(p for (a, _), p in prob.items() if a == 0)
+
+
+def test_trees_of_many_tasks_are_those_of_one(spark, monkeypatch):
+    """Bounds are the quantiles of all rows, and histograms of the tasks add up."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.random(6000), (rng.random(6000) ** 3 * 400).round(), rng.integers(0, 5, 6000), rng.integers(0, 2, 6000), np.ones(6000)])
+    y = (x[:, 0] + x[:, 3] * (x[:, 1] > 50) + x[:, 2] / 8 > 1).astype(int)
+    rows = spark.createDataFrame([(f"S1-{i}", f"S2-{i}", int(t), *map(float, r)) for i, (r, t) in enumerate(zip(x, y, strict=True))], "s1_id string, target_id string, label int, a double, b double, c double, d double, e double")
+    cuts = BO.cuts_of(rows, list("abcde"))
+    assert all(np.array_equal(c, BO.bounds_of(x[:, j])) for j, c in enumerate(cuts)) and [len(c) for c in cuts[2:]] == [4, 1, 0]
+    monkeypatch.setattr(BO, "TASK_ROWS", 1500)
+    model = ML.fit(rows, list("abcde"), True, 40)
+    alone = BO.boosted(x, y.astype(float), np.where(y == 1, 3000 / y.sum(), 3000 / (6000 - y.sum())), list("abcde"), 40)
+    assert len(model.trees) == 40 and np.allclose(model.probability(x), alone.probability(x), atol=1e-6)
+    walked = model.base + sum(t(x) for t in model.trees)
+    assert np.allclose(model.probability(x), 1 / (1 + np.exp(-walked)))
+    given = {r.a: r.prob for r in ML.predict(model, rows, list("abcde")).collect()}
+    assert np.allclose([given[v] for v in x[:, 0]], model.probability(x))
+
+
 def test_a_session(spark, tmp_path):
     head = "\t".join(IO.RECORD.names)
     (tmp_path / "train").mkdir()
